@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
