@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op5_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op5_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
