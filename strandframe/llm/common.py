@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,17 @@ BROADCAST_ROWS = 20_000
 SALTS = 64
 
 
+#: Rows of an Arrow batch at most, and characters of the texts that a Python function holds in pieces at a time.
+BATCH_ROWS = 512
+BATCH_CHARS = 1 << 20
+
+
 def expose(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where they share the driver's file system; ship it with --py-files elsewhere."""
+    """Let Python workers import this package where they share the driver's file system; ship it with --py-files elsewhere.
+
+    Arrow batches get few rows, because texts can be long.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
@@ -63,6 +73,18 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def groups(texts: list[str], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with most characters or so; a longer text is a run of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of non-white characters; 0 for null."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_CHARS))
