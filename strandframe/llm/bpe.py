@@ -16,6 +16,7 @@ from collections.abc import Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -27,7 +28,9 @@ FOREIGN = re.compile("[^\x00-\u0377\u2010-\u205e\u20a0-\u20bf]").search
 #: The same, with white space other than spaces and line feeds.
 ODD = re.compile("[^\n\x20-\x7e\xa1-\u0377\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]").search
 #: Entries of a worker's cache; the older half is dropped when it is full.
-CACHE = 600_000
+CACHE = 1_200_000
+#: A piece of one word and of marks after it, which the vocabulary's pattern cuts from it.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|<>]*)").fullmatch
 
 
 def byte_chars() -> dict[str, str]:
@@ -210,8 +213,10 @@ class ByteCodec:
     """What the tokenizers library gives for a byte-level vocabulary, from a cache of the pieces between spaces.
 
     A space before a character that isn't white begins a new token, and so does any space after such a character, so
-    pieces cut at single spaces encode alone as they do in the text. Texts with a space next to other white space on its
-    right or at their end, with a special token, or with a character beyond SIMPLE go to the library whole.
+    pieces cut at single spaces encode alone as they do in the text. A new piece of letters and marks is two words of the
+    vocabulary's pattern and goes to the library's model as such; any other new piece goes to the library as it is.
+    Texts with a space next to other white space on its right or at their end, with a special token, or with a character
+    that ODD finds go to the library whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -219,10 +224,30 @@ class ByteCodec:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
+        self.kind = "H" if self.library.get_vocab_size(True) <= 1 << 16 else "I"
         self.pieces = Pieces()  # of pieces, with the space before them
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+        shown = {b: c for c, b in byte_chars().items()}
+        self.space = shown[" "]
+        self.table = str.maketrans({b: c for b, c in shown.items() if b != c})
+
+    def _new(self, lack: set[str]) -> None:
+        """Encode pieces, each after a space."""
+        found, model, kind, space, table = self.pieces.new, self.library.model.tokenize, self.kind, self.space, self.table
+        other = []
+        for p in lack:
+            if (m := WORD_AND_MARKS(p)) is None:
+                other.append(p)
+                continue
+            word, marks = m.groups()
+            ids = [t.id for t in model(space + (word if word.isascii() else word.encode().decode("latin-1").translate(table)))]
+            if marks:
+                ids += [t.id for t in model(marks)]
+            found[p] = array(kind, ids).tobytes()
+        for p, e in zip(other, self.library.encode_batch_fast([f" {p}" for p in other], add_special_tokens=False), strict=True):
+            found[p] = array(kind, e.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers."""
         ready: list[list[str] | None] = []
         seen: set[str] = set()
         for text in texts:
@@ -232,10 +257,10 @@ class ByteCodec:
             parts = text.split(" ")
             seen.update(parts[1:])
             ready.append(parts)
-        lack = list(self.pieces.missing(seen))
-        found = self.pieces.new
-        for p, e in zip(lack, self.library.encode_batch_fast([f" {p}" for p in lack], add_special_tokens=False), strict=True):
-            found[p] = array("I", e.ids).tobytes()
-        whole = iter(self.library.encode_batch_fast([t if p is None else p[0] for t, p in zip(texts, ready, strict=True)], add_special_tokens=False))
-        get = found.__getitem__
-        return [array("I", next(whole).ids).tobytes() + (b"" if p is None else b"".join(map(get, p[1:]))) for p in ready]
+        self._new(self.pieces.missing(seen))
+        get, kind = self.pieces.new.__getitem__, np.dtype(self.kind)
+        out = []
+        for whole, parts in zip(self.library.encode_batch_fast([t if p is None else p[0] for t, p in zip(texts, ready, strict=True)], add_special_tokens=False), ready, strict=True):
+            ids = np.array(whole.ids, np.uint32)
+            out.append(ids if parts is None else np.concatenate([ids, np.frombuffer(b"".join(map(get, parts[1:])), kind)], dtype=np.uint32))
+        return out

@@ -33,7 +33,9 @@ END_ID = 2
 MAGIC = b"PFOR0001"
 HEAD = struct.Struct("<8sQQIQ")
 BLOCK_HEAD = struct.Struct("<IBI")
-BLOCK = 256
+BLOCK = 1024
+#: Blocks of one width that are handled at a time.
+SLAB = 32
 PERCENTILE = 90
 #: Ids of a file, or few more.
 FILE_IDS = 1 << 20
@@ -44,6 +46,14 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _slabs(widths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks of equal width, SLAB at a time."""
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w)
+        for i in range(0, len(at), SLAB):
+            yield int(w), at[i : i + SLAB]
+
+
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> list[bytes]:
     """The blocks of unsigned 32-bit ids; the last one is filled up with its last id."""
     if not len(ids):
@@ -55,12 +65,12 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTIL
     k = max(0, -(-block * percentile // 100) - 1)
     widths = _widths(np.partition(rest, k, axis=1)[:, k])
     out: list[bytes] = [b""] * n
-    for w in np.unique(widths):
-        at = np.flatnonzero(widths == w)
-        r = rest[at].astype(np.uint64)
-        bits = ((r[:, :, None] >> np.arange(w, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    for w, at in _slabs(widths):
+        r = rest[at]
+        kind = "<u2" if w <= 16 else "<u4"
+        bits = np.unpackbits(r.astype(kind).view(np.uint8).reshape(len(at), block, -1), axis=2, bitorder="little")[:, :, :w]
         packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
-        high = (r >> np.uint64(w)).astype(np.uint32)
+        high = (r.astype(np.uint64) >> np.uint64(w)).astype(np.uint32)
         for j, b in enumerate(at):
             odd = np.flatnonzero(high[j])
             out[b] = BLOCK_HEAD.pack(low[b], w, len(odd)) + packed[j].tobytes() + odd.astype("<u4").tobytes() + high[j][odd].astype("<u4").tobytes()
@@ -72,16 +82,14 @@ def unpack_blocks(data: memoryview, starts: np.ndarray, block: int) -> np.ndarra
     heads = [BLOCK_HEAD.unpack_from(data, s) for s in starts]
     out = np.zeros((len(heads), block), np.uint32)
     widths = np.array([h[1] for h in heads], np.int64)
-    for w in np.unique(widths):
-        at = np.flatnonzero(widths == w)
-        size = -(-block * int(w) // 8)
+    for w, at in _slabs(widths):
+        size = -(-block * w // 8)
         if w:
             raw = np.frombuffer(b"".join([data[starts[b] + BLOCK_HEAD.size : starts[b] + BLOCK_HEAD.size + size] for b in at]), np.uint8).reshape(len(at), size)
-            bits = np.unpackbits(raw, axis=1, count=block * int(w), bitorder="little").reshape(len(at), block, int(w))
-            value = np.zeros((len(at), block), np.uint32)
-            for i in range(int(w)):
-                value |= bits[:, :, i].astype(np.uint32) << np.uint32(i)
-            out[at] = value
+            bits = np.unpackbits(raw, axis=1, count=block * w, bitorder="little").reshape(len(at), block, w)
+            wide = np.zeros((len(at), block, 16 if w <= 16 else 32), np.uint8)
+            wide[:, :, :w] = bits
+            out[at] = np.packbits(wide, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
         for b in at:
             if m := heads[b][2]:
                 p = starts[b] + BLOCK_HEAD.size + size
@@ -154,7 +162,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         held = seq = first = 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
             row = [[part], [seq], [first], [len(ids)], [held], [write_file(names, ids)]]
@@ -165,7 +173,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             for lo, hi in groups(texts):
                 for name, code in zip(own[lo:hi], codec.encode(texts[lo:hi]), strict=True):
                     names.append(name)
-                    ids.append(np.frombuffer(code + end, "<u4"))
+                    ids.append(np.append(code, end))
                     held += len(ids[-1])
                     if held >= file_ids:
                         yield flush()
