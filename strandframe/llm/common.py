@@ -108,3 +108,14 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", l
     s = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed(key, "_key")
     b = big.withColumn("_salt1", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     return b.join(s, b[key].eqNullSafe(s["_key"]) & (b["_salt1"] == s["_salt2"]), how).drop("_key", "_salt1", "_salt2")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_of: Column, most: int, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs with a column _label, for at most `most` ids that have a label and for which fold_of holds.
+
+    Which ids is fixed by a hash of the id. Of several labels of one id the highest counts. The ids, `most` rows of two
+    numbers, are what is broadcast.
+    """
+    ids = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & fold_of).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
+    ids = stored(ids.orderBy(F.xxhash64("_id"), "_id").limit(most))
+    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).drop("_id")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, token_counts, token_files, word_codec
+from . import exact_dedup, mixing, quality_ranking, quality_rules, token_counts, token_files, toxicity, word_codec
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op3_quality_ranking": quality_ranking.query,
     "op4_token_files": token_files.query,
     "op5_mixing": mixing.query,
     "op6_word_codec": word_codec.query,
     "op7_token_counts": token_counts.query,
+    "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
