@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_ranking, quality_rules, token_counts, token_files, toxicity, word_codec
+from . import exact_dedup, language_id, mixing, quality_ranking, quality_rules, token_counts, token_files, toxicity, word_codec
 
 QUERIES = {
+    "op1_language_id": language_id.query,
     "op2_quality_rules": quality_rules.query,
     "op3_quality_ranking": quality_ranking.query,
     "op4_token_files": token_files.query,
