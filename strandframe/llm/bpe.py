@@ -12,7 +12,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -29,8 +29,8 @@ FOREIGN = re.compile("[^\x00-\u0377\u2010-\u205e\u20a0-\u20bf]").search
 ODD = re.compile("[^\n\x20-\x7e\xa1-\u0377\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]").search
 #: Entries of a worker's cache; the older half is dropped when it is full.
 CACHE = 1_200_000
-#: A piece of one word and of marks after it, which the vocabulary's pattern cuts from it.
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|<>]*)").fullmatch
+#: A piece of one word and of marks after it, which the vocabulary's pattern cuts from it, or of two with a line feed between.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|<>]*)(?:\n([^\W\d_]+)([.,;:!?#*$%&|<>]*))?").fullmatch
 
 
 def byte_chars() -> dict[str, str]:
@@ -51,12 +51,29 @@ class Pieces:
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
         lack = keys.difference(self.new)
-        if self.old and (there := lack.intersection(self.old)):
-            self.new.update((k, self.old[k]) for k in there)
-            lack -= there
+        if old := self.old:
+            there = [k for k in lack if k in old]
+            self.new.update(zip(there, map(old.__getitem__, there), strict=True))
+            lack.difference_update(there)
         return lack
 
 
+class Filled(dict):
+    """The same, filled by a function of the key when a key is missing."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int = CACHE):
+        self.make, self.size, self.old = make, size // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        v = self[key] = self.old[key] if key in self.old else self.make(key)
+        return v
+
+    def room(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class PrefixBpe:
     """Encodes words, as latin-1 strings of their UTF-8 bytes, with the merges of a byte-level vocabulary."""
 
@@ -213,8 +230,8 @@ class ByteCodec:
     """What the tokenizers library gives for a byte-level vocabulary, from a cache of the pieces between spaces.
 
     A space before a character that isn't white begins a new token, and so does any space after such a character, so
-    pieces cut at single spaces encode alone as they do in the text. A new piece of letters and marks is two words of the
-    vocabulary's pattern and goes to the library's model as such; any other new piece goes to the library as it is.
+    pieces cut at single spaces encode alone as they do in the text. A new piece of letters and marks is made of words of
+    the vocabulary's pattern, which go to the library's model as such; any other new piece goes to the library as it is.
     Texts with a space next to other white space on its right or at their end, with a special token, or with a character
     that ODD finds go to the library whole.
     """
@@ -225,42 +242,47 @@ class ByteCodec:
         self.library.no_padding()
         self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
         self.kind = "H" if self.library.get_vocab_size(True) <= 1 << 16 else "I"
-        self.pieces = Pieces()  # of pieces, with the space before them
+        self.pieces = Filled(self.piece)  # of pieces, with the space before them
+        self.model, self.feed = self.library.model.tokenize, self.library.encode("\n").ids
         shown = {b: c for c, b in byte_chars().items()}
         self.space = shown[" "]
         self.table = str.maketrans({b: c for b, c in shown.items() if b != c})
 
-    def _new(self, lack: set[str]) -> None:
-        """Encode pieces, each after a space."""
-        found, model, kind, space, table = self.pieces.new, self.library.model.tokenize, self.kind, self.space, self.table
-        other = []
-        for p in lack:
-            if (m := WORD_AND_MARKS(p)) is None:
-                other.append(p)
-                continue
-            word, marks = m.groups()
-            ids = [t.id for t in model(space + (word if word.isascii() else word.encode().decode("latin-1").translate(table)))]
-            if marks:
-                ids += [t.id for t in model(marks)]
-            found[p] = array(kind, ids).tobytes()
-        for p, e in zip(other, self.library.encode_batch_fast([f" {p}" for p in other], add_special_tokens=False), strict=True):
-            found[p] = array(kind, e.ids).tobytes()
+    def _model(self, text: str) -> list[int]:
+        """Ids of one word of the vocabulary's pattern; text has no white space but a leading space."""
+        return [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(self.table))]
+
+    def piece(self, p: str) -> bytes:
+        """The ids of a piece after a space."""
+        if (m := WORD_AND_MARKS(p)) is None:
+            return array(self.kind, self.library.encode(f" {p}", add_special_tokens=False).ids).tobytes()
+        word, marks, line, marks2 = m.groups()
+        ids = [t.id for t in self.model(self.space + word)] if word.isascii() else self._model(f" {word}")
+        if marks:
+            ids += [t.id for t in self.model(marks)]
+        if line:  # a line feed between characters that aren't white is a word by itself
+            ids += self.feed
+            ids += [t.id for t in self.model(line)] if line.isascii() else self._model(line)
+            if marks2:
+                ids += [t.id for t in self.model(marks2)]
+        return array(self.kind, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
-        ready: list[list[str] | None] = []
-        seen: set[str] = set()
+        whole, ready = [], []
         for text in texts:
             if "  " in text or " \n" in text or text.endswith(" ") or ODD(text) is not None or any(s in text for s in self.special):
+                whole.append(text)
                 ready.append(None)
                 continue
             parts = text.split(" ")
-            seen.update(parts[1:])
+            whole.append(parts[0])
+            del parts[0]
             ready.append(parts)
-        self._new(self.pieces.missing(seen))
-        get, kind = self.pieces.new.__getitem__, np.dtype(self.kind)
+        self.pieces.room()
+        get, kind = self.pieces.__getitem__, np.dtype(self.kind)
         out = []
-        for whole, parts in zip(self.library.encode_batch_fast([t if p is None else p[0] for t, p in zip(texts, ready, strict=True)], add_special_tokens=False), ready, strict=True):
-            ids = np.array(whole.ids, np.uint32)
-            out.append(ids if parts is None else np.concatenate([ids, np.frombuffer(b"".join(map(get, parts[1:])), kind)], dtype=np.uint32))
+        for e, parts in zip(self.library.encode_batch_fast(whole, add_special_tokens=False), ready, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            out.append(np.concatenate([ids, np.frombuffer(b"".join(map(get, parts)), kind)], dtype=np.uint32) if parts else ids)
         return out

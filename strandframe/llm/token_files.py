@@ -82,19 +82,19 @@ def unpack_blocks(data: memoryview, starts: np.ndarray, block: int) -> np.ndarra
     heads = [BLOCK_HEAD.unpack_from(data, s) for s in starts]
     out = np.zeros((len(heads), block), np.uint32)
     widths = np.array([h[1] for h in heads], np.int64)
+    raw = np.frombuffer(data, np.uint8)
     for w, at in _slabs(widths):
         size = -(-block * w // 8)
         if w:
-            raw = np.frombuffer(b"".join([data[starts[b] + BLOCK_HEAD.size : starts[b] + BLOCK_HEAD.size + size] for b in at]), np.uint8).reshape(len(at), size)
-            bits = np.unpackbits(raw, axis=1, count=block * w, bitorder="little").reshape(len(at), block, w)
-            wide = np.zeros((len(at), block, 16 if w <= 16 else 32), np.uint8)
-            wide[:, :, :w] = bits
-            out[at] = np.packbits(wide, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
-        for b in at:
+            own = np.stack([raw[p : p + size] for p in (starts[at] + BLOCK_HEAD.size).tolist()])
+            kind, width = ("<u2", 16) if w <= 16 else ("<u4", 32)
+            wide = np.zeros((len(at) * block, width), np.uint8)
+            wide[:, :w] = np.unpackbits(own, axis=1, count=block * w, bitorder="little").reshape(-1, w)
+            out[at] = np.packbits(wide.reshape(-1), bitorder="little").view(kind).reshape(len(at), block)
+        for b in at.tolist():
             if m := heads[b][2]:
                 p = starts[b] + BLOCK_HEAD.size + size
-                where = np.frombuffer(data, "<u4", m, p)
-                out[b, where] |= np.frombuffer(data, "<u4", m, p + 4 * m) << np.uint32(w)
+                out[b, np.frombuffer(data, "<u4", m, p)] |= np.frombuffer(data, "<u4", m, p + 4 * m) << np.uint32(w)
     return out + np.array([h[0] for h in heads], np.uint32)[:, None] if heads else out
 
 
