@@ -110,6 +110,29 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", l
     return b.join(s, b[key].eqNullSafe(s["_key"]) & (b["_salt1"] == s["_salt2"]), how).drop("_key", "_salt1", "_salt2")
 
 
+#: Bits of a bitmap of hashed keys: 4 MB, whatever the input.
+BITS = 1 << 25
+
+
+def slot(*keys: Column) -> Column:
+    """The bit of a key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(BITS))
+
+
+def bitmap(slots: DataFrame) -> DataFrame:
+    """Bitmaps of the column slot: BITS / 32768 rows of 4 KB at most."""
+    return stored(slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
+
+
+def marked(df: DataFrame, of: Column, bits: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: whether the bit is set. The bitmaps are broadcast; their size is fixed by BITS."""
+    d = df.withColumn("_bucket", F.bitmap_bucket_number(of)).withColumn("_pos", F.bitmap_bit_position(of))
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), (F.col("_pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (F.col("_pos") % 8).cast("int")) == 1, F.lit(False))
+    b = bits.select(F.col("bucket").alias("_b"), F.col("bits").alias("_bits"))
+    return d.join(F.broadcast(b), F.col("_bucket") == F.col("_b"), "left").select(*df.columns, is_set.alias(name))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_of: Column, most: int, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs with a column _label, for at most `most` ids that have a label and for which fold_of holds.
 

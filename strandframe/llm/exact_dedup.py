@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, documents, lower_ascii, stored
+from .common import SALTS, bitmap, documents, lower_ascii, marked, slot, stored
 
 PREFIX = 64
-BITS = 1 << 25
 
 
 def _levels(text: Column) -> tuple[Column, Column]:
@@ -22,35 +21,25 @@ def _levels(text: Column) -> tuple[Column, Column]:
     return F.octet_length(text).cast("long"), F.xxhash64(lower_ascii(F.substring(text, 1, PREFIX)))
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BITS))
-
-
 def _sha(text: Column) -> Column:
     return F.sha2(lower_ascii(text).cast("binary"), 256)
 
 
 def _repeated(texts: DataFrame) -> DataFrame:
-    """Bitmaps of the slots of (length, prefix hash) pairs that more than one row has; BITS / 32768 rows at most."""
+    """Bitmaps of the (length, prefix hash) pairs that more than one row has."""
     length, prefix = _levels(F.col("text"))
     pairs = texts.select(length.alias("len"), prefix.alias("pfx")).groupBy("len", "pfx").agg(F.count(F.lit(1)).alias("n"))
-    slots = pairs.where("n > 1").select(_slot(F.col("len"), F.col("pfx")).alias("slot"))
-    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    return bitmap(pairs.where("n > 1").select(slot(F.col("len"), F.col("pfx")).alias("slot")))
 
 
 def _marked(texts: DataFrame, bits: DataFrame) -> DataFrame:
-    """texts with `again`: whether the row's bit is set."""
-    slot = _slot(*_levels(F.col("text")))
-    t = texts.withColumn("_bucket", F.bitmap_bucket_number(slot)).withColumn("_pos", F.bitmap_bit_position(slot))
-    byte = F.conv(F.hex(F.substr(F.col("bits"), (F.col("_pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    again = F.coalesce(F.getbit(byte, (F.col("_pos") % 8).cast("int")) == 1, F.lit(False))
-    return t.join(F.broadcast(bits), F.col("_bucket") == F.col("bucket"), "left").select(*texts.columns, again.alias("again"))
+    return marked(texts, slot(*_levels(F.col("text"))), bits, "again")
 
 
 def _decisions(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> tuple[DataFrame, DataFrame]:
     """The bitmaps, and row, id, sha, keep_id, keep_row, size of every row of docs."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = stored(_repeated(texts))
+    bits = _repeated(texts)
     sha = _sha(F.col("text"))
     rows = _marked(texts, bits)
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "again", (sha if digest else F.when(F.col("again"), sha)).alias("sha"))
@@ -86,13 +75,13 @@ def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits, out = _decisions(docs, id_col, text_col, digest=False)
     stay = stored(out.where("size > 1 and row = keep_row").select(F.col("id").alias("_id"), F.col("sha").alias("_sha")))
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = _marked(packed, bits)
-    several = marked.where("again").withColumn("sha", _sha(F.col("text")))
+    found = _marked(packed, bits)
+    several = found.where("again").withColumn("sha", _sha(F.col("text")))
     sole = out.where("size = 1 and sha is not null").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))  # a bit shared by chance
     keys = stay.unionByName(sole)
     wins = several.join(keys, several[f"doc.{id_col}"].eqNullSafe(keys["_id"]) & (several["sha"] == keys["_sha"]), "left_semi")
     wins = wins.withColumn("_id", F.col(f"doc.{id_col}")).dropDuplicates(["_id", "sha"])
-    return marked.where("not again").select("doc.*").unionByName(wins.select("doc.*"))
+    return found.where("not again").select("doc.*").unionByName(wins.select("doc.*"))
 
 
 ORACLE = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, quality_ranking, quality_rules, token_counts, token_files, toxicity, word_codec
+from . import exact_dedup, jaccard_join, language_id, mixing, quality_ranking, quality_rules, token_counts, token_files, toxicity, word_codec
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.query,
     "op6_word_codec": word_codec.query,
     "op7_token_counts": token_counts.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
