@@ -223,6 +223,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(alone).withColumnRenamed("n", "n_shingles").withColumnRenamed("id", id_col)
 
 
+def keep_one_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that near_duplicates() doesn't keep, all columns as they are.
+
+    Rows that lost set the bits of their id and text; rows whose bit is clear pass without a shuffle, and of the others
+    those stay that are kept rows.
+    """
+    rows = stored(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), "hash", "kept"))
+    at = slot(F.col("id"), F.col("hash"))
+    bits = bitmap(rows.where("not kept").select(at.alias("slot")))
+    keys = marked(rows.where("kept"), at, bits, "near").where("near").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    found = marked(packed, at, bits, "near")
+    several = found.where("near")
+    wins = several.join(keys, several["id"].eqNullSafe(keys["_id"]) & (several["hash"] == keys["_hash"]), "left_semi").dropDuplicates(["id", "hash"])
+    return found.where("not near").select("doc.*").unionByName(wins.select("doc.*"))
+
+
 ORACLE = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),

@@ -9,7 +9,7 @@ and only the documents of that second bucket, a 16-millionth of a source, are so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, lookup_join, n_words, stored
@@ -46,42 +46,84 @@ def _ends(sums: DataFrame, need: str, bucket: str) -> DataFrame:
     return c.where((F.col("_upto") - F.col("size") <= F.col(need)) & (F.col(need) < F.col("_upto"))).withColumn("_before", F.col("_upto") - F.col("size"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target, copies (whole repetitions), taken (words, with the last repetition in part).
+def _key(id_col: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
 
-    A source's taken words are its rounded target, and no row exceeds epochs times its size. Null texts have size 0 and
-    null sources are a source of their own. Rows that repeat an id stand next to each other in the order. copies counts a
-    part of half the document or more as a whole one. An empty table gives no rows; extra columns are not read.
-    """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"))
-    rows = stored(rows)  # narrow, and the text is read once
-    b1, b2 = F.substring("key", 1, DIGITS), F.substring("key", 1 + DIGITS, DIGITS)
 
+def _lead() -> Column:
+    return F.substring("key", 1, 2 * DIGITS)
+
+
+def _mark() -> Column:
+    return F.concat("end1", "end2")
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """id, source, size, hash (of the text), key, row of each row of docs, stored: the text is read once."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"), _key(F.col(id_col), seed).alias("key"), F.monotonically_increasing_id().alias("row"))
+    return stored(rows)
+
+
+def _plan(rows: DataFrame, epochs: int, weights: tuple[int, ...]) -> DataFrame:
+    """For each source its target, whole repetitions, the two buckets in which the rest ends and what it needs of the second."""
+    b1, b2 = F.substring("key", 1, DIGITS), F.substring("key", 1 + DIGITS, DIGITS)
     targets = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), epochs, weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = (F.floor(F.col("target") + 0.5) - F.col("whole") * F.col("source_size")).cast("long")
     targets = stored(targets.withColumn("whole", whole).withColumn("rest", rest))
 
-    # first bucket, then second: where the rest of each source ends
     sums = rows.groupBy("source", b1.alias("b1")).agg(F.sum("size").alias("size"))
     first = _ends(lookup_join(sums, targets.select("source", "rest"), "source", "inner"), "rest", "b1")
     first = stored(first.select("source", "b1", (F.col("rest") - F.col("_before")).alias("need")))
     inside = lookup_join(rows.withColumn("at", b1), first.withColumnRenamed("b1", "end1"), "source", "inner").where("at = end1")
     second = _ends(inside.groupBy("source", "need", "end1", b2.alias("b2")).agg(F.sum("size").alias("size")), "need", "b2")
     ends = second.select(F.col("source").alias("_s"), "end1", F.col("b2").alias("end2"), (F.col("need") - F.col("_before")).alias("left"))
-    plan = stored(targets.join(ends, targets["source"].eqNullSafe(ends["_s"]), "left").drop("_s"))
+    return stored(targets.join(ends, targets["source"].eqNullSafe(ends["_s"]), "left").drop("_s"))
+
 
+def _shares(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with their source's plan and extra, the words beyond whole repetitions: those of the last buckets, and the others."""
     all_rows = lookup_join(rows, plan, "source", "inner")
-    mark = F.concat("end1", "end2")
-    lead = F.substring("key", 1, 2 * DIGITS)
     upto = Window.partitionBy("source").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    last = all_rows.where(lead == mark).withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("left") - F.coalesce(F.sum("size").over(upto), F.lit(0)))))
-    # without an end, the rest is 0 or the whole source: floor() leaves less than a whole source, so it is 0
-    other = all_rows.where(mark.isNull() | (lead != mark)).withColumn("extra", F.when(lead < mark, F.col("size")).otherwise(F.lit(0).cast("long")))
+    last = all_rows.where(_lead() == _mark()).withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("left") - F.coalesce(F.sum("size").over(upto), F.lit(0)))))
+    # without an end, the rest is 0: floor() leaves less than a whole source
+    other = all_rows.where(_mark().isNull() | (_lead() != _mark())).withColumn("extra", F.when(_lead() < _mark(), F.col("size")).otherwise(F.lit(0).cast("long")))
+    return last, other
+
+
+def _copies() -> Column:
+    return F.col("whole") + (F.col("extra") * 2 >= F.greatest("size", F.lit(1))).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """One row per row of docs: id, source, size, source_size, target, copies (whole repetitions), taken (words, with the last repetition in part).
+
+    A source's taken words are its rounded target, and no row exceeds epochs times its size. Null texts have size 0 and
+    null sources are a source of their own. Rows that repeat an id stand next to each other in the order. copies counts a
+    part of half the document or more as a whole one. An empty table gives no rows; extra columns are not read.
+    """
+    rows = _sizes(docs, id_col, text_col, source_col, seed)
+    last, other = _shares(rows, _plan(rows, epochs, weights))
     out = last.unionByName(other)
-    copies = F.col("whole") + (F.col("extra") * 2 >= F.greatest("size", F.lit(1))).cast("long")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _copies().alias("copies"), (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """docs with each row as often as mix() has copies of it, whole texts and all columns as they are.
+
+    Copies follow from the source's plan and the row's own key, so no text is shuffled but those of the last buckets.
+    """
+    rows = _sizes(docs, id_col, text_col, source_col, seed)
+    plan = _plan(rows, epochs, weights)
+    last, _ = _shares(rows, plan)
+    edge = stored(last.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.sum(_copies()).alias("copies")))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"), _key(F.col(id_col), seed).alias("key"))
+    own = lookup_join(packed, plan, "source", "inner")
+    extra = F.when(_lead() < _mark(), F.col("size")).otherwise(F.lit(0).cast("long"))
+    inner = own.where(_mark().isNull() | (_lead() != _mark())).withColumn("extra", extra).select("doc", _copies().alias("copies"))
+    ends = own.where(_lead() == _mark()).dropDuplicates(["id", "hash"])
+    ends = ends.join(edge, ends["id"].eqNullSafe(edge["_id"]) & (ends["hash"] == edge["_hash"])).select("doc", "copies")
+    return inner.unionByName(ends).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
 
 
 ORACLE = f"""

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def _codec(vocabulary: str) -> WordCodec:
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: str = "digests") -> DataFrame:
-    """For each row of docs its id, n_tokens, and with outputs="values" ids (array) and decoded, with "digests" their sha256.
+    """For each row of docs its id, n_tokens, and with outputs="values" ids and decoded, with "digests" their sha256.
 
     vocabulary_path is a tokenizers file read on the driver; its content, a few MB whatever the input, is broadcast. Null
     texts count as empty, which gives no ids and an empty decoded text. Rows that repeat give the same again, extra
@@ -38,7 +39,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     id_type = docs.schema[id_col].dataType
     fields = [T.StructField("id", id_type), T.StructField("n_tokens", T.LongType())]
     if outputs == "values":
-        fields += [T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())]
+        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     else:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     digest = outputs != "values"
@@ -51,10 +52,13 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             for lo, hi in groups(texts):
                 for ids, decoded in codec.run(texts[lo:hi]):
                     n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest() if digest else memoryview(ids).cast("I").tolist())
+                    a.append(hashlib.sha256(ids).hexdigest() if digest else ids)
                     b.append(hashlib.sha256(decoded.encode()).hexdigest() if digest else decoded)
-            names = [f.name for f in fields]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string() if digest else pa.list_(pa.int64())), pa.array(b, pa.string())], names=names)
+            if digest:
+                first = pa.array(a, pa.string())
+            else:
+                first = pa.ListArray.from_arrays(np.cumsum([0, *n], dtype=np.int32), np.frombuffer(b"".join(a), "<i4"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), first, pa.array(b, pa.string())], names=[f.name for f in fields])
 
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, T.StructType(fields))
     return out.withColumnRenamed("id", id_col)

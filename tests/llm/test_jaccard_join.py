@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from strandframe.llm.jaccard_join import near_duplicates
+from strandframe.llm.jaccard_join import keep_one_of_group, near_duplicates
 from strandframe.llm.shingle_trie import LinkTrie
 from strandframe.llm.shingles import shingle_sets
 
@@ -101,6 +101,9 @@ def test_components_match_brute_force(spark, seed, block):
     want, n_groups = brute(rows)
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in out if True) == want
     assert sum(r.kept for r in out) == n_groups
+    kept = keep_one_of_group(df)
+    assert kept.columns == df.columns and kept.count() == n_groups
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == sorted((r.doc_id or -1) for r in out if r.kept)
 
 
 def test_empty_table(spark):

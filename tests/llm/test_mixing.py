@@ -3,7 +3,7 @@ import random
 import pytest
 
 from strandframe.llm import common
-from strandframe.llm.mixing import EPOCHS, mix
+from strandframe.llm.mixing import EPOCHS, mix, mixed_documents
 
 
 def fill(sizes):
@@ -46,12 +46,17 @@ def test_targets_and_taken(spark, monkeypatch, limit):
         assert abs(sum(r.taken for r in own) - want[s]) <= 0.5 + 1e-6
         assert abs(sum(r.copies * r.size for r in own) - want[s]) <= 300
     again = mix(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()
+    docs = mixed_documents(spark.createDataFrame(data, SCHEMA))
+    assert docs.columns == ["doc_id", "text", "source", "size", "copies"]
+    want_rows = sorted((r.doc_id or -1, r.source or "-") for r in out for _ in range(r.copies))
+    assert sorted((r.doc_id or -1, r.source or "-") for r in docs.collect()) == want_rows
     pick = lambda x: sorted((r.doc_id or -1, r.size, r.taken) for r in x)
     assert pick(again) == pick(out)
 
 
 def test_small_tables(spark):
-    assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
+    empty = spark.createDataFrame([], SCHEMA)
+    assert mix(empty).count() == mixed_documents(empty).count() == 0
     (r,) = mix(spark.createDataFrame([(1, "a b c", "s", "", 0)], SCHEMA)).collect()
     assert (r.size, r.target, r.taken) == (3, 3.0, 3)
     (r,) = mix(spark.createDataFrame([(1, None, None, "", 0)], SCHEMA)).collect()
