@@ -29,7 +29,9 @@ FURTHER = 8
 #: Elements of the sets of a block; a tree holds two blocks at most.
 BLOCK = 500_000
 #: Entries that a task packs at a time, and packets a partition gets from it then.
-PACK, SPREAD = 400_000, 4
+PACK, SPREAD = 100_000, 4
+#: Characters of texts whose words are hashed at a time.
+CHARS = 1 << 18
 FIRST = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<u4")])
 COUNTED = np.dtype([("key", "<i8"), ("token", "<u8"), ("n", "<u4"), ("df", "<u4")])
 MEET = np.dtype([("token", "<u8"), ("key", "<i8")])
@@ -84,7 +86,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sets = batch.column("text").to_pylist(), []
-            for lo, hi in groups(texts):
+            for lo, hi in groups(texts, CHARS):
                 sets += [(len(s), signature(s)) for s in shingle_sets(texts[lo:hi])]
             sigs = [s for _, s in sets]
             keys = np.frombuffer(b"".join(sigs), "<i8")[::2]
@@ -105,7 +107,7 @@ def candidates(docs: DataFrame, text_col: str) -> DataFrame:
         size = 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for lo, hi in groups(texts):
+            for lo, hi in groups(texts, CHARS):
                 for s in shingle_sets(texts[lo:hi]):
                     if not len(s) or (sig := signature(s)) in seen:
                         continue
@@ -178,7 +180,7 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col: str,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = batch.column("text").to_pylist(), []
-            for lo, hi in groups(texts):
+            for lo, hi in groups(texts, CHARS):
                 out += [s.tobytes() for s in shingle_sets(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("blocks"), batch.column("sig"), pa.array(out, pa.binary())], names=["cluster", "blocks", "sig", "shingles"])
 

@@ -17,7 +17,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _BASE and of its inverse, modulo 2**64."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     return _powers[0][:n], _powers[1]
 
