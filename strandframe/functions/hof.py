@@ -106,11 +106,10 @@ def wavefront(n: Column, m: Column, block: int) -> Column:
 
 
 def wrapped(sequence: Column, width: int) -> Column:
-    """Lines of width characters; one line for width 0."""
+    """Lines of width characters; one line for width 0. One pass over the string, where substr() would start anew for each line."""
     if width <= 0:
         return F.array(sequence)
-    last = F.greatest(F.ceil(F.char_length(sequence) / width), F.lit(1)).cast(INT) - 1
-    return F.transform(F.sequence(_i(0), last), lambda i: F.substr(sequence, i * width + 1, _i(width)))
+    return F.when(sequence == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(sequence, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)))
 
 
 def header_name(header: Column) -> Column:

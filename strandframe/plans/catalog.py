@@ -287,7 +287,7 @@ def seq_count_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 def base_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted in each row by removing the base, so only four numbers a language are shuffled by each task."""
     d = table(spark, sf_dir, "documents").select("lang", hof.dna(F.col("text")).alias("s"))
-    count = lambda c: F.sum(F.char_length("s") - F.char_length(F.translate("s", c, "")))
+    count = lambda c: F.sum(F.octet_length("s") - F.octet_length(F.replace("s", F.lit(c), F.lit(""))))
     wide = d.groupBy("lang").agg(*(count(c).alias(c) for c in "ACGT"))
     return wide.select("lang", F.explode(F.array(*(F.struct(F.lit(c).alias("base"), F.col(c).alias("n")) for c in "ACGT"))).alias("x")).select("lang", "x.base", "x.n")
 
