@@ -7,6 +7,8 @@ import numpy as np
 from ..scheme import CELL_FLOOR, DEFAULT, ScoringScheme
 
 LOW = -(1 << 29)
+#: Cells of a traceback that are kept whole; three bytes each.
+CELLS = 1 << 27
 
 
 def codes(text: str) -> np.ndarray:
@@ -67,37 +69,68 @@ def score_batch(pairs: list[tuple[str, str]], scheme: ScoringScheme = DEFAULT) -
     return out, cell
 
 
-def planes(a: str, b: str, scheme: ScoringScheme = DEFAULT) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+def _row(x: np.ndarray, symbol: np.uint32, i: int, h: np.ndarray, e: np.ndarray, scheme: ScoringScheme) -> tuple[np.ndarray, ...]:
+    """From the scores above a row (h) and the gaps that enter it (e): its scores, the gaps that leave it, and its planes."""
+    o = scheme.gap_open
+    d = h[:-1] + np.where(x == symbol, np.int32(scheme.match), np.int32(scheme.mismatch))
+    g = np.empty(len(x) + 1, np.int32)
+    g[0] = o + (i + 1) * scheme.gap_extend
+    np.maximum(d, e, out=g[1:])
+    f = horizontal(g, scheme)
+    new = np.maximum(g[1:], f)
+    way = np.where(new == d, 1, np.where(new == f, 0, 2)).astype(np.int8)
+    row_gap, col_gap = np.sign(f - new - o).astype(np.int8), np.sign(e - new - o).astype(np.int8)
+    return np.concatenate([g[:1], new]), np.maximum(e, new + o) + scheme.gap_extend, way, row_gap, col_gap
+
+
+class Planes:
     """Score, largest cell, and for each cell the direction of its best score and how its gaps may go on.
 
     Directions: 1 diagonal, 0 along the row, 2 along the column, in this order of preference among equals. The two
     other planes compare, in each cell, extending a gap with opening one: 1 extending is better, 0 both are equal, -1.
-    """
-    x, y = codes(a), codes(b)
-    n, m = len(y), len(x)
-    way, row_gap, col_gap = np.empty((n, m), np.int8), np.empty((n, m + 1), np.int8), np.empty((n, m), np.int8)
-    h = boundary(m, scheme)
-    e = h[1:] + scheme.gap_open + scheme.gap_extend
-    best = CELL_FLOOR
-    o = scheme.gap_open
-    for i in range(n):
-        d = h[:-1] + np.where(x == y[i], np.int32(scheme.match), np.int32(scheme.mismatch))
-        g = np.empty(m + 1, np.int32)
-        g[0] = o + (i + 1) * scheme.gap_extend
-        np.maximum(d, e, out=g[1:])
-        f = horizontal(g, scheme)
-        new = np.maximum(g[1:], f)
-        way[i] = np.where(new == d, 1, np.where(new == f, 0, 2))
-        row_gap[i, 0], row_gap[i, 1:] = -1, np.sign(f - new - o)
-        col_gap[i] = np.sign(e - new - o)
-        e = np.maximum(e, new + o) + scheme.gap_extend
-        h = np.concatenate([g[:1], new])
-        if m:
-            best = max(best, int(new.max()))
-    return int(h[m]), best, way, row_gap, col_gap
 
+    Up to CELLS cells everything is kept. Beyond, every so-manieth row of scores is kept and a block of planes is worked
+    out again when the walk comes to it, two blocks at a time: memory grows with the longer length times the root of the
+    shorter one, for twice the time, and the planes are the same.
+    """
 
-def align(first: str, second: str, scheme: ScoringScheme = DEFAULT) -> tuple[int, int, bool, str, str, str]:
+    def __init__(self, a: str, b: str, scheme: ScoringScheme = DEFAULT, cells: int = CELLS):
+        self.x, self.y, self.scheme = codes(a), codes(b), scheme
+        n, m = len(self.y), len(self.x)
+        self.every = max(1, n if n * m <= cells else int(n**0.5))
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+        self.blocks: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        h = boundary(m, scheme)
+        e = h[1:] + scheme.gap_open + scheme.gap_extend
+        self.cell = CELL_FLOOR
+        whole = []
+        for i in range(n):
+            if i % self.every == 0:
+                self.kept.append((h, e))
+            h, e, *own = _row(self.x, self.y[i], i, h, e, scheme)
+            if self.every == n:
+                whole.append(own)
+            if m:
+                self.cell = max(self.cell, int(h[1:].max()))
+        self.total = int(h[m])
+        if self.every == n:
+            self.blocks[0] = whole
+
+    def row(self, i: int) -> tuple[np.ndarray, ...]:
+        """way, row_gap and col_gap of a row."""
+        k = i // self.every
+        if k not in self.blocks:
+            self.blocks = {q: v for q, v in self.blocks.items() if q == k + 1}
+            h, e = self.kept[k]
+            out = []
+            for j in range(k * self.every, min(len(self.y), (k + 1) * self.every)):
+                h, e, *own = _row(self.x, self.y[j], j, h, e, self.scheme)
+                out.append(own)
+            self.blocks[k] = out
+        return self.blocks[k][i - k * self.every]
+
+
+def align(first: str, second: str, scheme: ScoringScheme = DEFAULT, cells: int = CELLS) -> tuple[int, int, bool, str, str, str]:
     """global_score, max_cell_score, swapped, gapped first, gapped second, ops (= X D I, from the first's point of view).
 
     swapped: the second is longer and lies along the columns. Among equally good alignments the walk back prefers the
@@ -106,14 +139,15 @@ def align(first: str, second: str, scheme: ScoringScheme = DEFAULT) -> tuple[int
     """
     swapped = len(second) > len(first)
     a, b = (second, first) if swapped else (first, second)
-    total, cell, way, row_gap, col_gap = planes(a, b, scheme)
+    p = Planes(a, b, scheme, cells)
     i, j, forced = len(b), len(a), -1
     top: list[str] = []
     side: list[str] = []
     ops: list[str] = []
     along, across = ("I", "D") if swapped else ("D", "I")
     while i and j:
-        move = forced if forced >= 0 else int(way[i - 1, j - 1])
+        way, row_gap, _ = p.row(i - 1)
+        move = forced if forced >= 0 else int(way[j - 1])
         forced = -1
         if move == 1:
             top.append(a[j - 1])
@@ -124,24 +158,25 @@ def align(first: str, second: str, scheme: ScoringScheme = DEFAULT) -> tuple[int
             top.append(a[j - 1])
             side.append("-")
             ops.append(along)
-            s = row_gap[i - 1, j - 1]  # of the cell to the left; column 0 only opens
-            if j > 1 and (s > 0 or s == 0 and row_gap[i - 1, j - 2] <= 0):
-                forced = 0
+            if j > 1:
+                s = row_gap[j - 2]  # of the cell to the left; the gap from column 0 is only ever opened
+                if s > 0 or s == 0 and (j == 2 or row_gap[j - 3] <= 0):
+                    forced = 0
             j -= 1
         else:
             top.append("-")
             side.append(b[i - 1])
             ops.append(across)
             if i > 1:
-                s = col_gap[i - 2, j - 1]
-                if s > 0 or s == 0 and (i == 2 or col_gap[i - 3, j - 1] <= 0):
+                s = p.row(i - 2)[2][j - 1]
+                if s > 0 or s == 0 and (i == 2 or p.row(i - 3)[2][j - 1] <= 0):
                     forced = 2
             i -= 1
     top += [*a[:j][::-1], *"-" * i]
     side += [*"-" * j, *b[:i][::-1]]
     ops += [*along * j, *across * i]
     x, y = "".join(reversed(top)), "".join(reversed(side))
-    return total, cell, swapped, *((y, x) if swapped else (x, y)), "".join(reversed(ops))
+    return p.total, p.cell, swapped, *((y, x) if swapped else (x, y)), "".join(reversed(ops))
 
 
 def rescore(ops: str, scheme: ScoringScheme = DEFAULT) -> int:

@@ -44,6 +44,7 @@ def test_scores_and_walks(scheme):
         t, c, swapped, x, y, ops = align(a, b, scheme)
         assert (t, c, swapped) == (total, cell, len(b) > len(a))
         assert rescore(ops, scheme) == total
+        assert align(a, b, scheme, cells=0) == (t, c, swapped, x, y, ops)
         assert "".join(q for q, o in zip(x, ops, strict=True) if o != "I") == a
         assert "".join(q for q, o in zip(y, ops, strict=True) if o != "D") == b
     back, _ = score_batch([(b, a) for a, b in p], scheme)
