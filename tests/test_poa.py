@@ -6,7 +6,7 @@ from strandframe.functions.kernels import score_batch
 from strandframe.functions.poa import Graph, heaviest_path, progressive
 from strandframe.scheme import DEFAULT, ScoringScheme
 
-from .test_kernels import EXAMPLE, read
+from .test_kernels import examples
 
 
 @pytest.mark.parametrize("scheme", [DEFAULT, ScoringScheme(1, -1, -1, 0)])
@@ -56,9 +56,9 @@ def test_cycles_are_an_error():
             f()
 
 
-@pytest.mark.skipif(not EXAMPLE.exists(), reason="example files are elsewhere")
+@pytest.mark.skipif(not examples([5000] * 5), reason="no example files here")
 def test_documented_set():
-    seqs = read(EXAMPLE / "msa/seq/seq1.fa")
+    seqs = examples([5000] * 5)
     r = progressive(seqs)
     assert r.rounds == [(5000, -5451, 1885), (6885, -3101, 1714), (8599, -1776, 1531), (10130, -870, 1338)]
     g = r.graph
