@@ -97,3 +97,11 @@ def test_dna_queries_match_brute_force(spark):
 def test_registry():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and set(catalog.QUERIES) <= set(q)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7])
+def test_tiles_give_the_score(spark, size):
+    from strandframe.operators.wavefront import score_tiled
+
+    for a, b in [*pairs(5, 3), ("", "ab"), ("", ""), ("acbacbacba", "abcaabcbcacbb")]:
+        assert score_tiled(spark, a, b, SCHEMES[3], size) == cell_by_cell(*((a, b) if len(a) >= len(b) else (b, a)), SCHEMES[3])
