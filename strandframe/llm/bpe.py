@@ -28,7 +28,7 @@ FOREIGN = re.compile("[^\x00-\u0377\u2010-\u205e\u20a0-\u20bf]").search
 #: The same, with white space other than spaces and line feeds.
 ODD = re.compile("[^\n\x20-\x7e\xa1-\u0377\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]").search
 #: Entries of a worker's cache; the older half is dropped when it is full.
-CACHE = 1_200_000
+CACHE = 1_000_000
 #: A piece of one word and of marks after it, which the vocabulary's pattern cuts from it, or of two with a line feed between.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|<>]*)(?:\n([^\W\d_]+)([.,;:!?#*$%&|<>]*))?").fullmatch
 
@@ -124,7 +124,7 @@ class PrefixBpe:
                 v = self.alone[token] = self.merge(self.symbols(token)) == [token]
             return v
         if (v := self.pairs.get((before, token))) is None:
-            if len(self.pairs) > 2 * CACHE:
+            if len(self.pairs) > CACHE // 2:
                 self.pairs.clear()
             v = self.pairs[before, token] = self.merge(self.symbols(before) + self.symbols(token)) == [before, token]
         return v
@@ -184,8 +184,8 @@ def latin(text: str) -> str:
 class WordCodec:
     """Encoding and decoding with a vocabulary of words that end in a marker, in lower case and without white space.
 
-    A text is cut at spaces; the pieces, their ids and their decoded text are kept, and the words of new pieces are
-    encoded together by their trie. Texts that hold a special token or a character beyond PLAIN go to the library.
+    A text is cut at spaces; the pieces and their ids are kept, and the words of new pieces are encoded together by their
+    trie. Texts that hold a special token or a character beyond PLAIN go to the library.
     """
 
     def __init__(self, vocabulary: str):
@@ -195,7 +195,9 @@ class WordCodec:
         self.bpe = PrefixBpe(vocabulary)
         self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
         self.split = regex.compile(WORD_PATTERN).findall
-        self.pieces = Pieces()
+        self.kind = "H" if self.library.get_vocab_size(True) <= 1 << 16 else "I"
+        self.shown = [self.library.id_to_token(i) or "" for i in range(max(self.bpe.names) + 1)]
+        self.pieces = Pieces(CACHE * 6 // 10)
 
     def run(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """The ids, as little-endian 32-bit integers, and the decoded text of each text."""
@@ -209,20 +211,18 @@ class WordCodec:
             ready.append(parts)
             seen.update(parts)
         words = {p: [latin(w) for w in self.split(p)] for p in self.pieces.missing(seen)}
-        ids = self.bpe.encode_words({w for ws in words.values() for w in ws})
-        names, found = self.bpe.names, self.pieces.new
-        codes = {w: array("I", i).tobytes() for w, i in ids.items()}
-        shown = {w: "".join([f"{names[x]} " for x in i]) for w, i in ids.items()}
+        codes = {w: array(self.kind, i).tobytes() for w, i in self.bpe.encode_words({w for ws in words.values() for w in ws}).items()}
+        found = self.pieces.new
         for p, ws in words.items():
-            found[p] = (b"".join(map(codes.__getitem__, ws)), "".join(map(shown.__getitem__, ws)))
+            found[p] = b"".join(map(codes.__getitem__, ws))
         out = []
         for text, parts in zip(texts, ready, strict=True):
             if parts is None:
                 e = self.library.encode(text, add_special_tokens=False)
                 out.append((array("I", e.ids).tobytes(), self.library.decode(e.ids, skip_special_tokens=False)))
             else:
-                a, b = zip(*map(found.__getitem__, parts), strict=True)
-                out.append((b"".join(a), "".join(b)[:-1]))
+                ids = np.frombuffer(b"".join(map(found.__getitem__, parts)), self.kind)
+                out.append((ids.astype(np.uint32).tobytes(), " ".join(map(self.shown.__getitem__, ids.tolist()))))
         return out
 
 
@@ -242,7 +242,8 @@ class ByteCodec:
         self.library.no_padding()
         self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
         self.kind = "H" if self.library.get_vocab_size(True) <= 1 << 16 else "I"
-        self.pieces = Filled(self.piece)  # of pieces, with the space before them
+        self.pieces = Filled(self.piece, CACHE * 6 // 5)  # of pieces, with the space before them
+        self.known_marks: dict[str, list[int]] = {}
         self.model, self.feed = self.library.model.tokenize, self.library.encode("\n").ids
         shown = {b: c for c, b in byte_chars().items()}
         self.space = shown[" "]
@@ -252,6 +253,14 @@ class ByteCodec:
         """Ids of one word of the vocabulary's pattern; text has no white space but a leading space."""
         return [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(self.table))]
 
+    def marks(self, text: str) -> list[int]:
+        """Ids of a run of marks; there are few different ones."""
+        if (v := self.known_marks.get(text)) is None:
+            if len(self.known_marks) > 10_000:
+                self.known_marks.clear()
+            v = self.known_marks[text] = [t.id for t in self.model(text)]
+        return v
+
     def piece(self, p: str) -> bytes:
         """The ids of a piece after a space."""
         if (m := WORD_AND_MARKS(p)) is None:
@@ -259,12 +268,12 @@ class ByteCodec:
         word, marks, line, marks2 = m.groups()
         ids = [t.id for t in self.model(self.space + word)] if word.isascii() else self._model(f" {word}")
         if marks:
-            ids += [t.id for t in self.model(marks)]
+            ids += self.marks(marks)
         if line:  # a line feed between characters that aren't white is a word by itself
             ids += self.feed
             ids += [t.id for t in self.model(line)] if line.isascii() else self._model(line)
             if marks2:
-                ids += [t.id for t in self.model(marks2)]
+                ids += self.marks(marks2)
         return array(self.kind, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -25,14 +25,18 @@ SALTS = 64
 #: Rows of an Arrow batch at most, and characters of the texts that a Python function holds in pieces at a time.
 BATCH_ROWS = 512
 BATCH_CHARS = 1 << 20
+#: Settings of a worker's allocators: one arena, and what is freed goes back to the system.
+FREEING = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def expose(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package where they share the driver's file system; ship it with --py-files elsewhere.
 
-    Arrow batches get few rows, because texts can be long.
+    Arrow batches get few rows, because texts can be long, and workers give memory back that they have freed. Every
+    operator with a Python function calls this first.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.sparkContext.environment.update(FREEING)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]

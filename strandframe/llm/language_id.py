@@ -8,17 +8,17 @@ backpropagation through time on windows of a bounded sample of labelled document
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fold, groups, stored
+from .common import documents, expose, fold, groups, stored
 
 #: Labelled documents that are learnt from, at most, and bytes of each in which training windows lie; every text is read whole.
 SAMPLE, SAMPLE_BYTES = 4_000, 4_000
@@ -26,7 +26,7 @@ SAMPLE, SAMPLE_BYTES = 4_000, 4_000
 WINDOW, HIDDEN, LANES = 128, 8, 4096
 STEPS, BATCH, LENGTH, RATE, SEED = 500, 192, 64, 0.02, 5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 class Network:
@@ -212,7 +212,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     rows get the same again, an empty table gives no rows, and columns but the id and the text are not looked at.
     The network, a few thousand numbers, goes along with the function. Nothing is shuffled.
     """
-    model = docs.sparkSession.sparkContext.broadcast(net)
+    model = expose(docs.sparkSession).sparkContext.broadcast(net)
     if keep:
         schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
         source, column = docs, text_col

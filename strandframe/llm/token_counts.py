@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import BYTE_PATTERN, ODD, Pieces
-from .common import documents, groups
+from .common import documents, expose, groups
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -232,7 +232,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, id_c
     library may differ, are counted by the library. Repeated rows count again, extra columns are not read, an empty
     table gives no rows. Nothing is shuffled.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text())
+    vocabulary = expose(docs.sparkSession).sparkContext.broadcast(Path(vocabulary_path).read_text())
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

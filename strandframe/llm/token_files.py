@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ByteCodec
-from .common import documents, groups, lookup_join, stored
+from .common import documents, expose, groups, lookup_join, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -155,7 +155,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     and holds one file's ids at a time. first is the number of ids in the part before the file. A null text is an
     empty one and has the end id alone. No rows give no files. Extra columns are not read.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text())
+    vocabulary = expose(docs.sparkSession).sparkContext.broadcast(Path(vocabulary_path).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part = _codec(vocabulary.value), TaskContext.get().partitionId()

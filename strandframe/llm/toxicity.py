@@ -127,7 +127,7 @@ def toxicity(docs: DataFrame, weights: dict[str, float], bias: float, id_col: st
     """
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("offending", spans)]
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    model = expose(docs.sparkSession).sparkContext.broadcast((weights, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, b = Weights(model.value[0]), model.value[1]

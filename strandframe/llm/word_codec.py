@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import WordCodec
-from .common import documents, groups
+from .common import documents, expose, groups
 
 VOCABULARY = "word_bpe_49k.json"
 _CODECS: dict[int, WordCodec] = {}
@@ -34,7 +34,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     texts count as empty, which gives no ids and an empty decoded text. Rows that repeat give the same again, extra
     columns are not read, an empty table gives no rows. Nothing is shuffled.
     """
-    spark = docs.sparkSession
+    spark = expose(docs.sparkSession)
     vocabulary = spark.sparkContext.broadcast(Path(vocabulary_path).read_text())
     id_type = docs.schema[id_col].dataType
     fields = [T.StructField("id", id_type), T.StructField("n_tokens", T.LongType())]

@@ -49,7 +49,7 @@ def test_windows_read_in_step_equal_one_by_one():
 def test_learns_from_labelled_rows_only(spark):
     rng = random.Random(2)
     rows = [(i, text(rng, lang, rng.randint(1, 400)) + "x", lang, "s") for i in range(240) for lang in [sorted(ALPHABETS)[i % 3]]]
-    edges = [(900, None, "aa", "s"), (901, "", "aa", "s"), (902, "12 %\n", "bb", "s"), (None, text(rng, "bb", 300), None, "s"), (903, text(rng, "cc", 50_000), None, "s"), (0, rows[0][1], "aa", "s")]
+    edges = [(900, None, "aa", "s"), (901, "", "aa", "s"), (902, "12 ½ _%\n", "bb", "s"), (None, text(rng, "bb", 300), None, "s"), (903, text(rng, "cc", 50_000), None, "s"), (0, rows[0][1], "aa", "s")]
     df = spark.createDataFrame(rows + edges, "doc_id long, text string, lang string, lang_pred string")
     net = learn(df, F.coalesce(F.col("doc_id") % 4 != 0, F.lit(False)))
     assert net.langs == sorted(ALPHABETS)
