@@ -6,7 +6,7 @@ elements, one of the rarest. Three exchanges of packed (element, set) pairs foll
 many sets have each; by set, to order a set's first elements by that count and keep those in which it must meet a
 partner, none for most sets; and by element again, where sets that meet are tied to the least of them. What is tied
 together is a candidate cluster. The whole sets of a cluster meet in prefix trees, which find the links exactly; clusters
-too large for one tree are cut into blocks and every two blocks share one. Components of the links are the groups.
+too large for one tree are cut into blocks (see links()). Components of the links are the groups.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, bitmap, documents, groups, lookup_join, marked, slot, stored
+from .common import SALTS, bitmap, documents, expose, groups, lookup_join, marked, slot, stored
 from .components import components
 from .shingle_trie import LinkTrie
 from .shingles import shingle_sets, signature
@@ -27,9 +27,9 @@ PERCENT = 80
 #: Two sets share a FURTHER-th of the smaller one's size among their first elements, instead of one: fewer sets pass.
 FURTHER = 8
 #: Elements of the sets of a block; a tree holds two blocks at most.
-BLOCK = 500_000
-#: Entries that a task packs at a time, and packets a partition gets from it then.
-PACK, SPREAD = 100_000, 4
+BLOCK = 100_000
+#: Entries that a task packs at a time: then every partition gets one packet from it.
+PACK = 100_000
 #: Characters of texts whose words are hashed at a time.
 CHARS = 1 << 18
 FIRST = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<u4")])
@@ -53,16 +53,32 @@ def firsts(n: int) -> int:
     return int(min(n, n - needed(n) + max(1, n // FURTHER)))
 
 
-def _packets(rows: np.ndarray, field: str, parts: int) -> Iterator[pa.RecordBatch]:
-    """rows cut by a hash of a field into packets (p, blob)."""
+def spots(parts: int) -> np.ndarray:
+    """For each partition a number that Spark's hash partitioning sends there: its 32-bit Murmur3 hash with seed 42."""
+    turn = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    x = np.arange(parts * (int(np.log(parts + 1)) + 12), dtype=np.uint32)
+    h = np.uint32(42) ^ (turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+    h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+    found, first = np.unique(part, return_index=True)
+    out = np.arange(parts, dtype=np.int32)  # where none was found, any will do
+    out[found] = x[first]
+    return out
+
+
+def _packets(rows: np.ndarray, field: str, spot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """rows cut by a hash of a field into packets (p, blob), one for each partition."""
     if not len(rows):
         return
-    p = ((rows[field].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+    p = ((rows[field].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(len(spot))
     order = np.argsort(p, kind="stable")
     rows, p = rows[order], p[order]
     cut = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), len(p))
     blobs = [rows[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["p", "blob"])
+    yield pa.RecordBatch.from_arrays([pa.array(spot[p[cut[:-1]]]), pa.array(blobs, pa.binary())], names=["p", "blob"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
@@ -99,7 +115,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def candidates(docs: DataFrame, text_col: str) -> DataFrame:
     """node, root: the clusters of set keys (64 bits of the signature) outside which no set links."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packets = SPREAD * parts
+    packets = spots(parts)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a task sends a set once, however many copies it reads
@@ -165,17 +181,37 @@ def candidates(docs: DataFrame, text_col: str) -> DataFrame:
     return components(exchange(exchange(exchange(packed, count, PACKET), choose, PACKET), tie, "a long, b long"))
 
 
+def _joined(blocks: DataFrame, *keys: str) -> DataFrame:
+    """a, b: the links that a tree finds in each group of rows (keys, sig, root, shingles); root is what is known of sig's component."""
+
+    def join(table: pa.Table) -> pa.Table:
+        own = {s: (x, r) for s, x, r in zip(*(table.column(c).to_pylist() for c in ("sig", "shingles", "root")), strict=True)}
+        names = sorted(own)
+        pairs = LinkTrie([np.frombuffer(own[s][0], np.uint64) for s in names], PERCENT, [own[s][1] for s in names]).links()
+        return pa.table({"a": pa.array([names[a] for a, _ in pairs], pa.binary()), "b": pa.array([names[b] for _, b in pairs], pa.binary())})
+
+    return blocks.select(*keys, "sig", "root", "shingles").groupBy(*keys).applyInArrow(join, "a binary, b binary")
+
+
+def _up_to(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
 def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
-    """a, b: signatures of classes that link, enough of them to connect all that links connect."""
+    """a, b: signatures of classes that link, enough of them to connect all that links connect.
+
+    A cluster of at most `block` elements is one tree. A larger one is dealt into blocks. First each block meets one of
+    them, which connects most of a cluster of many like sets. The sets outside its largest component, dealt into blocks
+    of their own, then meet every block: two sets inside it are connected already, and any other two meet.
+    """
     members = classes.join(clusters, F.col("key") == F.col("node")).select("sig", "n", F.col("first.id").alias("id"), F.col("first.hash").alias("hash"), F.col("root").alias("cluster"))
     members = stored(members)
     large = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).where("blocks > 1")
-    members = lookup_join(members, stored(large), "cluster").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = stored(lookup_join(members, stored(large), "cluster").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
 
     bits = bitmap(members.select(slot(F.col("id"), F.col("hash")).alias("slot")))
     texts = docs.select(F.col(id_col).cast("long").alias("tid"), F.xxhash64(text_col).alias("thash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = marked(texts, slot(F.col("tid"), F.col("thash")), bits, "wanted").where("wanted")  # the others never move
-    own = members.join(texts, F.col("id").eqNullSafe(F.col("tid")) & (F.col("hash") == F.col("thash"))).select("cluster", "blocks", "sig", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,18 +220,26 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col: str,
                 out += [s.tobytes() for s in shingle_sets(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("blocks"), batch.column("sig"), pa.array(out, pa.binary())], names=["cluster", "blocks", "sig", "shingles"])
 
-    blocks = own.mapInArrow(sets, "cluster long, blocks int, sig binary, shingles binary")
-    one = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    blocks = blocks.withColumn("one", one).withColumn("two", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("cluster", F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), "sig", "shingles")
-
-    def join(table: pa.Table) -> pa.Table:
-        own = dict(zip(table.column("sig").to_pylist(), table.column("shingles").to_pylist(), strict=True))
-        names = sorted(own)
-        pairs = LinkTrie([np.frombuffer(own[s], np.uint64) for s in names], PERCENT).links()
-        return pa.table({"a": pa.array([names[a] for a, _ in pairs], pa.binary()), "b": pa.array([names[b] for _, b in pairs], pa.binary())})
-
-    return blocks.groupBy("cluster", "one", "two").applyInArrow(join, "a binary, b binary")
+    own = members.join(texts, F.col("id").eqNullSafe(F.col("tid")) & (F.col("hash") == F.col("thash"))).select("cluster", "blocks", "sig", "text")
+    own = own.mapInArrow(sets, "cluster long, blocks int, sig binary, shingles binary").withColumn("root", F.col("sig"))
+    own = stored(own.withColumn("at", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")))
+    found = _joined(own.where("blocks = 1"), "cluster")
+    whole = own.where("blocks > 1")
+    if whole.isEmpty():
+        return found
+
+    one = whole.where("at > 0").withColumn("with", F.col("at")).unionByName(whole.where("at = 0").withColumn("with", _up_to(F.col("blocks"))))
+    first = stored(_joined(one, "cluster", "with"))
+    comps = components(first).select(F.col("node").alias("_sig"), F.col("root").alias("_root"))
+    known = whole.drop("root").join(comps, F.col("sig") == F.col("_sig"), "left").withColumn("root", F.coalesce("_root", "sig")).drop("_sig", "_root")
+    known = stored(known)
+    sizes = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles") / 8).alias("elements"))
+    most = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("elements").alias("all"), F.max_by("elements", F.struct("n", "root")).alias("inside"))
+    most = stored(most.select("cluster", "most", F.ceil((F.col("all") - F.col("inside")) / block).cast("int").alias("rest")).where("rest > 0"))
+    known = lookup_join(known, most, "cluster", "inner")
+    outside = known.where(F.col("root") != F.col("most")).withColumn("u", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("rest")).cast("int")).withColumn("at", _up_to(F.col("blocks")))
+    every = known.withColumn("u", _up_to(F.col("rest")))
+    return found.unionByName(first).unionByName(_joined(every.unionByName(outside), "cluster", "u", "at"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -206,6 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept, with the smallest id (null is the smallest), and the first of rows that repeat it. Shingles are compared by
     64-bit hashes and sets by 128-bit ones. Extra columns are not read; an empty table gives no rows.
     """
+    expose(docs.sparkSession)
     rows = scan(docs, id_col, text_col)
     full = rows.where("n > 0")
     classes = stored(full.groupBy("sig").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.min(F.struct("id", "row", "hash")).alias("first"), F.min("id").alias("least")))

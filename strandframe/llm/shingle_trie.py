@@ -22,10 +22,11 @@ class LinkTrie:
     """Stores sets, elements in order of falling frequency, so that like sets share long paths; nodes with one child are
     one segment. A set walks down the tree carrying its overlap with the path, which all sets below share. A subtree is
     left when the overlap that the remaining lengths allow is too small for the smallest set in it, when no size in it
-    fits, or when all in it are already connected with the set.
+    fits, or when all in it are already connected with the set. known names the component of each set, where that is
+    known from before.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int = 80):
+    def __init__(self, sets: list[np.ndarray], percent: int = 80, known: list[bytes] | None = None):
         self.sizes, self.percent = [len(s) for s in sets], percent
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         values, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -43,6 +44,11 @@ class LinkTrie:
         self.parent = list(range(len(sets)))
         self.nodes: list[_Node] = []
         self.root = self._build()
+        if known:
+            first: dict[bytes, int] = {}
+            for x, name in enumerate(known):
+                self.parent[x] = first.setdefault(name, x)
+            self._mark()
 
     def _build(self) -> _Node:
         order = sorted(range(len(self.paths)), key=self.paths.__getitem__)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from strandframe.llm.jaccard_join import keep_one_of_group, near_duplicates
+from strandframe.llm.jaccard_join import keep_one_of_group, near_duplicates, spots
 from strandframe.llm.shingle_trie import LinkTrie
 from strandframe.llm.shingles import shingle_sets
 
@@ -93,7 +93,13 @@ def test_trie_connects_what_all_pairs_connect(seed):
                 assert trie.find(i) == trie.find(j)
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 500_000), (2, 300)])
+def test_known_components_are_not_linked_again():
+    sets = [np.arange(20, dtype=np.uint64) + np.uint64(k) for k in (0, 1, 2, 100, 101)]
+    assert LinkTrie(sets, known=[b"a", b"a", b"a", b"b", b"b"]).links() == []
+    assert len(LinkTrie(sets, known=[b"a", b"a", b"c", b"b", b"b"]).links()) == 1
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 100_000), (2, 300), (4, 60)])
 def test_components_match_brute_force(spark, seed, block):
     rows = [(i * 3 if i % 40 else None, t) for i, t in enumerate(corpus(seed))] + [(2000, "same words again here now ok"), (2000, "same words again here now ok")]
     df = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, n int, key string").repartition(6)
@@ -108,3 +114,11 @@ def test_components_match_brute_force(spark, seed, block):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 211])
+def test_packets_go_one_to_each_partition(spark, parts):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(int(x),) for x in spots(parts)], "p int")
+    assert sorted(r[0] for r in df.select(F.pmod(F.hash("p"), F.lit(parts))).collect()) == list(range(parts))
