@@ -14,6 +14,7 @@ from ..functions import hof
 from ..operators import multiple, pairwise
 from ..scheme import DEFAULT, DEFAULT_BLOCK, ScoringScheme
 from ..sources import files
+from ..streaming import incremental as stream
 from . import oracle
 
 LINEAR = ScoringScheme(2, -5, -2, 0)
@@ -390,3 +391,15 @@ def msa_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def msa_sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brand_sets(spark, sf_dir).select("set_id", files.msa_text().alias("record"))
+
+
+@_query("SELECT n_regionkey::BIGINT AS set_id, count(*)::INT AS n_sequences, sum(length(n_name) - 1)::BIGINT AS weight FROM nation GROUP BY n_regionkey")
+def streaming_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations as a stream, a set for each region: how many joined, and the weight of the edges they left."""
+    schema = table(spark, sf_dir, "nation").schema
+    names = spark.readStream.schema(schema).option("pathGlobFilter", "nation.parquet").parquet(sf_dir).select(F.col("n_regionkey").cast("bigint").alias("set_id"), F.col("n_nationkey").alias("seq_idx"), F.col("n_name").alias("sequence"))
+    folder = _folder(spark, "stream")
+    write = stream.incremental(names).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
+    write.foreachBatch(lambda batch, i: batch.write.mode("append").parquet(f"{folder}/out")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out").groupBy("set_id").agg(F.max("n_sequences").alias("n_sequences"), F.max_by("weight", "n_sequences").alias("weight"))
+    return out.select("set_id", "n_sequences", "weight")

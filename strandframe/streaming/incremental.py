@@ -31,7 +31,8 @@ def unpack(raw: bytes) -> Graph:
 
 
 def incremental(df: DataFrame, group: str = "set_id", order: str = "seq_idx", sequence: str = "sequence", scheme: ScoringScheme = DEFAULT, idle: str = "none", timeout_ms: int = 0) -> DataFrame:
-    """For each set of a micro-batch: set_id, n_sequences, n_nodes, end_score (of the last sequence), consensus, closed.
+    """For each set of a micro-batch: set_id, n_sequences, n_nodes, weight (of all edges), end_score (of the last sequence),
+    consensus, closed.
 
     Sequences of one micro-batch join in ascending `order`; later ones join after them, whatever their order says, as a
     graph can't be taken back. With idle="close" a set that gets nothing for timeout_ms of processing time gives a last
@@ -39,16 +40,17 @@ def incremental(df: DataFrame, group: str = "set_id", order: str = "seq_idx", se
     """
     if idle not in ("none", "close"):
         raise ValueError("idle must be none or close")
-    out = T.StructType.fromDDL("n_sequences int, n_nodes int, end_score bigint, consensus string, closed boolean")
+    out = T.StructType.fromDDL("n_sequences int, n_nodes int, weight bigint, end_score bigint, consensus string, closed boolean")
     out = T.StructType([T.StructField("set_id", df.schema[group].dataType), *out.fields])
     names = out.fieldNames()
+    weight = lambda g: sum(w for b in g.before for w in b.values())
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             raw, n = state.get
             graph = unpack(bytes(raw))
             state.remove()
-            yield pd.DataFrame([(key[0], n, len(graph.symbols), None, finish(graph, n, []).consensus, True)], columns=names)
+            yield pd.DataFrame([(key[0], n, len(graph.symbols), weight(graph), None, finish(graph, n, []).consensus, True)], columns=names)
             return
         graph, n, score = Graph(), 0, None
         if state.exists:
@@ -61,7 +63,7 @@ def incremental(df: DataFrame, group: str = "set_id", order: str = "seq_idx", se
         state.update((pack(graph), n))
         if idle == "close":
             state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame([(key[0], n, len(graph.symbols), score, finish(graph, n, []).consensus, False)], columns=names)
+        yield pd.DataFrame([(key[0], n, len(graph.symbols), weight(graph), score, finish(graph, n, []).consensus, False)], columns=names)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle == "close" else GroupStateTimeout.NoTimeout
     return df.groupBy(group).applyInPandasWithState(run, out, "graph binary, n int", "update", timeout)
