@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,24 @@ def expose(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """An object that a worker keeps from task to task, such as a codec with its cache; another key takes its place."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what the worker keeps: called by functions that need none of it, which may run in the same worker."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return expose(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 

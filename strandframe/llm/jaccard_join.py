@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, bitmap, documents, expose, groups, lookup_join, marked, slot, stored
+from .common import SALTS, bitmap, documents, expose, forget, groups, lookup_join, marked, slot, stored
 from .components import components
 from .shingle_trie import LinkTrie
 from .shingles import shingle_sets, signature
@@ -100,6 +100,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, id, hash (of the text), n, sig, key for each row of docs, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts, sets = batch.column("text").to_pylist(), []
             for lo, hi in groups(texts, CHARS):
@@ -118,6 +119,7 @@ def candidates(docs: DataFrame, text_col: str) -> DataFrame:
     packets = spots(parts)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[bytes] = set()  # a task sends a set once, however many copies it reads
         held: list[np.ndarray] = []
         size = 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, expose, fold, groups, stored
+from .common import documents, expose, fold, forget, groups, stored
 
 #: Labelled documents that are learnt from, at most, and bytes of each in which training windows lie; every text is read whole.
 SAMPLE, SAMPLE_BYTES = 4_000, 4_000
@@ -222,6 +222,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             langs, scores = model.value.predict(batch.column(column).to_pylist())
             rest = batch.columns if keep else [batch.column("id")]

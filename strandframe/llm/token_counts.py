@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import BYTE_PATTERN, ODD, Pieces
-from .common import documents, expose, groups
+from .common import documents, expose, groups, kept
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -214,14 +214,9 @@ class Counts:
         return total[last], int((hi - lo).sum())
 
 
-_COUNTS: dict[int, Counts] = {}
-
-
 def _counts(vocabulary: str) -> Counts:
-    if (k := hash(vocabulary)) not in _COUNTS:
-        _COUNTS.clear()
-        _COUNTS[k] = Counts(vocabulary)
-    return _COUNTS[k]
+    """One for each vocabulary and worker; its cache lives from task to task."""
+    return kept((Counts, hash(vocabulary)), lambda: Counts(vocabulary))
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

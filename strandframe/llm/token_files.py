@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ByteCodec
-from .common import documents, expose, groups, lookup_join, stored
+from .common import documents, expose, groups, kept, lookup_join, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -138,14 +138,9 @@ class TokenFile:
             at += n
 
 
-_CODECS: dict[int, ByteCodec] = {}
-
-
 def _codec(vocabulary: str) -> ByteCodec:
-    if (k := hash(vocabulary)) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[k] = ByteCodec(vocabulary)
-    return _CODECS[k]
+    """One for each vocabulary and worker; its cache lives from task to task."""
+    return kept((ByteCodec, hash(vocabulary)), lambda: ByteCodec(vocabulary))
 
 
 def write_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:

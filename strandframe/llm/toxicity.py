@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, expose, fold, labelled_sample
+from .common import documents, expose, fold, forget, labelled_sample
 
 #: Labelled documents that are learnt from, at most; every document is scored.
 SAMPLE = 8_000
@@ -130,6 +130,7 @@ def toxicity(docs: DataFrame, weights: dict[str, float], bias: float, id_col: st
     model = expose(docs.sparkSession).sparkContext.broadcast((weights, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own, b = Weights(model.value[0]), model.value[1]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:

@@ -13,18 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import WordCodec
-from .common import documents, expose, groups
+from .common import documents, expose, groups, kept
 
 VOCABULARY = "word_bpe_49k.json"
-_CODECS: dict[int, WordCodec] = {}
-
-
 def _codec(vocabulary: str) -> WordCodec:
     """One for each vocabulary and worker; its cache lives from task to task."""
-    if (k := hash(vocabulary)) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[k] = WordCodec(vocabulary)
-    return _CODECS[k]
+    return kept((WordCodec, hash(vocabulary)), lambda: WordCodec(vocabulary))
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: str = "digests") -> DataFrame:
