@@ -1,8 +1,9 @@
-"""Byte-pair encoding by last-token states on the prefixes of words, and caches of what the tokenizers library gives.
+"""Byte-pair encoding by last-token states, and caches of what the tokenizers library gives.
 
 The encoding of a prefix is fixed by its last token and the encoding of what stands before it. A token ends the encoding
-of a prefix exactly when the last token before it and the token, encoded together, stay two tokens; so one token for each
-prefix is all the state there is, and words that share a prefix share its states.
+of a prefix exactly when the last token before it and the token, encoded together, stay two tokens. So what the rest of a
+word can still depend on are the places behind which a longer token of the vocabulary may have begun, with the last token
+before each: a state of a deterministic automaton, which is compiled from the vocabulary as its states are met.
 """
 
 from __future__ import annotations
@@ -11,95 +12,98 @@ import json
 import os
 import re
 import unicodedata
-from array import array
 from collections.abc import Callable, Iterable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pre-tokenization patterns of the two vocabularies; fixed values, as their files have them.
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Finds characters with which a text goes to the library as it is: Python and the library may differ on the classes of recent letters.
-FOREIGN = re.compile("[^\x00-\u0377\u2010-\u205e\u20a0-\u20bf]").search
-#: The same, with white space other than spaces and line feeds.
-ODD = re.compile("[^\n\x20-\x7e\xa1-\u0377\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]").search
-#: Stands before the first piece of a text in a cache; ODD finds it in any text.
-FIRST = "\0"
-#: Entries of a worker's cache; the older half is dropped when it is full.
-CACHE = 1_000_000
-#: A piece of one word and of marks after it, which the vocabulary's pattern cuts from it, or of two with a line feed between.
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|<>]*)(?:\n([^\W\d_]+)([.,;:!?#*$%&|<>]*))?").fullmatch
+from .words import SPACE, WHITE, Batch, Kinds, WordTable
 
+#: Slots of a worker's table of words, as a power of two; a slot takes 24 bytes, and a word's ids a few more.
+BITS = 21
+#: States of an automaton after which it is compiled anew, and pairs of tokens that it remembers.
+STATES, PAIRS = 150_000, 200_000
+#: A final symbol is the byte and this.
+FINAL = 256
+_COUNT, _TOKEN = 12, 20  # bits of a state's entry: node of the vocabulary's trie, token before, tokens up to there
 
-def byte_chars() -> dict[str, str]:
-    """Character of byte-level vocabularies -> the byte as a latin-1 character: printable bytes stand for themselves, the others follow from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): chr(b) for b in shown} | {chr(256 + i): chr(b) for i, b in enumerate(hidden)}
 
+def _unassigned() -> Callable[[str], object]:
+    """Finds characters that this Python's Unicode doesn't know, as a later one may, and all beyond the first plane."""
+    known = [unicodedata.category(chr(c)) not in ("Cn", "Cs") for c in range(1 << 16)] + [True]
+    cuts = [c for c in range(1, 1 << 16) if known[c] != known[c - 1]] + [1 << 16]
+    spans = [(a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False) if not known[a]]
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans) + "\U00010000-\U0010ffff]").search
 
-class Pieces:
-    """A cache of bounded size: two generations of CACHE / 2 entries, of which the older one is dropped."""
 
-    def __init__(self, size: int = CACHE):
-        self.size, self.new, self.old = size // 2, {}, {}
+_suspect = _unassigned()
 
-    def missing(self, keys: set) -> set:
-        """The keys not in the newer generation; what the older one has of them moves there. Between two calls nothing is dropped."""
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
-        lack = keys.difference(self.new)
-        if old := self.old:
-            there = [k for k in lack if k in old]
-            self.new.update(zip(there, map(old.__getitem__, there), strict=True))
-            lack.difference_update(there)
-        return lack
 
+def settled(text: str) -> bool:
+    """Whether Python's character classes are the library's for this text: they differ on characters that only one of them knows."""
+    return text.isascii() or _suspect(text) is None or all(unicodedata.category(c) != "Cn" for c in set(text))
 
-class Filled(dict):
-    """The same, filled by a function of the key when a key is missing."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int = CACHE):
-        self.make, self.size, self.old = make, size // 2, {}
-
-    def __missing__(self, key: str) -> bytes:
-        v = self[key] = self.old[key] if key in self.old else self.make(key)
-        return v
+def byte_chars() -> dict[str, str]:
+    """Character of byte-level vocabularies -> the byte as a latin-1 character: printable bytes stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): chr(b) for b in shown} | {chr(256 + i): chr(b) for i, b in enumerate(hidden)}
 
-    def room(self) -> None:
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
 
+class Automaton:
+    """Last-token states of a byte-level vocabulary. Symbols are bytes, and with FINAL added a word's last byte where the
+    vocabulary marks the ends of words.
 
-class PrefixBpe:
-    """Encodes words, as latin-1 strings of their UTF-8 bytes, with the merges of a byte-level vocabulary."""
+    keys has for each state the places behind which a token may go on: the node that the bytes since have reached, the
+    token before the place, and how many tokens more than at the state's own end there are. step() compiles one transition.
+    """
 
     def __init__(self, vocabulary: str):
         model = json.loads(vocabulary)["model"]
         chars, end = byte_chars(), model.get("end_of_word_suffix") or ""
-        self.end, self.ids = end, model["vocab"]
-        self.names = {i: t for t, i in self.ids.items()}
-        plain = lambda t: "".join(map(chars.__getitem__, t))
-        self.inner: dict[str, int] = {}
-        self.final: dict[str, int] = {}
-        for t, i in self.ids.items():
-            if end and t.endswith(end) and t != end:
-                self.final[plain(t[: -len(end)])] = i
-            else:
-                self.inner[plain(t)] = i
+        self.end, ids = bool(end), model["vocab"]
+        self.symbols: dict[int, list[int]] = {}
+        self.one: dict[int, int] = {}
+        for t, i in ids.items():
+            final = bool(end) and t.endswith(end) and t != end
+            own = [ord(chars[c]) for c in (t[: -len(end)] if final else t)] if final or t != end else []
+            if final:
+                own[-1] += FINAL
+            if own:
+                self.symbols[i] = own
+                if len(own) == 1:
+                    self.one[own[0]] = i
+        self.sizes = {i: len(s) for i, s in self.symbols.items()}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self.longest = max(map(len, [*self.inner, *self.final]))
-        self.text = {i: (t, False) for t, i in self.inner.items()} | {i: (t, True) for t, i in self.final.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
+            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        if max(self.sizes.values()) >= 1 << _COUNT - 1 or max(ids.values()) + 2 >= 1 << _TOKEN:
+            raise ValueError("the vocabulary is too large for the states")
+        self.child: dict[int, int] = {}
+        self.token, self.more = [-1], [True]
+        for i, own in self.symbols.items():
+            at = 0
+            for s in own:
+                self.more[at] = True
+                if (to := self.child.get(at << 9 | s)) is None:
+                    to = self.child[at << 9 | s] = len(self.token)
+                    self.token.append(-1)
+                    self.more.append(False)
+                at = to
+            self.token[at] = i
+        self.pairs: dict[int, bool] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all states but the one at the start of a word, 0."""
+        start = (1 << _COUNT - 1,)
+        self.keys, self.states, self.last = [start], {start: 0}, [-1]
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The merges of least rank first, the leftmost of equals."""
@@ -112,183 +116,182 @@ class PrefixBpe:
             symbols = [*symbols[:i], new, *symbols[i + 2 :]]
         return symbols
 
-    def symbols(self, token: int) -> list[int]:
-        t, final = self.text[token]
-        out = [self.inner[c] for c in t]
-        if final:
-            out[-1] = self.final[t[-1]]
-        return out
-
     def stays(self, before: int, token: int) -> bool:
         """Whether the two tokens, encoded together, stay as they are; before is -1 at the start of a word."""
-        if before < 0:
-            if (v := self.alone.get(token)) is None:
-                v = self.alone[token] = self.merge(self.symbols(token)) == [token]
-            return v
-        if (v := self.pairs.get((before, token))) is None:
-            if len(self.pairs) > CACHE // 4:
+        key = before + 1 << _TOKEN | token
+        if (v := self.pairs.get(key)) is None:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            v = self.pairs[before, token] = self.merge(self.symbols(before) + self.symbols(token)) == [before, token]
+            both = [before, token] if before >= 0 else [token]
+            v = self.pairs[key] = self.merge([self.one[s] for t in both for s in self.symbols[t]]) == both
         return v
 
-    def last(self, tokens: dict[str, int], word: str, i: int, lasts: list[int]) -> int:
-        """The last token of word[:i], given those of the shorter prefixes."""
-        for k in range(min(i, self.longest), 0, -1):
-            if (t := tokens.get(word[i - k : i])) is not None and self.stays(lasts[i - k], t):
-                return t
-        raise ValueError("the vocabulary lacks a byte")
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        """The state after a symbol, and how many tokens more there are than before it."""
+        kept, found, count, low = [], -1, 0, (1 << _TOKEN + _COUNT) - 1
+        for e in self.keys[state]:  # the longest token first
+            if (to := self.child.get(e >> _TOKEN + _COUNT << 9 | symbol)) is None:
+                continue
+            if found < 0 and (t := self.token[to]) >= 0 and self.stays(((e & low) >> _COUNT) - 1, t):
+                found, count = t, (e & (1 << _COUNT) - 1) - (1 << _COUNT - 1) + 1
+            if self.more[to]:
+                kept.append(to << _TOKEN + _COUNT | e & low)
+        if found < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        key = (*(e - count for e in kept), found + 1 << _COUNT | 1 << _COUNT - 1)
+        if (new := self.states.get(key)) is None:
+            new = self.states[key] = len(self.keys)
+            self.keys.append(key)
+            self.last.append(found)
+        return new, count
+
+
+class PrefixBpe:
+    """Encodes words by a depth-first walk of the trie of all of them."""
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def __init__(self, vocabulary: str):
+        self.automaton = Automaton(vocabulary)
+        self.edges: dict[int, int] = {}
+
+    def _step(self, state: int, symbol: int) -> int:
+        to = self.edges[state << 9 | symbol] = self.automaton.step(state, symbol)[0]
+        return to
+
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """Ids of each distinct word. Sorted words are a depth-first walk of their trie: what a word shares with the one
         before it is a path that has been walked, and the states on it are kept."""
-        out: dict[str, list[int]] = {}
-        lasts, before, inner, longest = [-1], "", self.inner, self.longest
-        pairs, lens = self.pairs, self._lens()
+        a = self.automaton
+        if len(a.keys) > STATES:
+            a.reset()
+            self.edges.clear()
+        out: dict[bytes, list[int]] = {}
+        path, before, get, last, sizes, end = [0], b"", self.edges.get, a.last, a.sizes, a.end
         for word in sorted(set(words)):
             n, i = len(word), 0
-            top = min(n, len(lasts) - 1)
+            stop = n - 1 if end else n
+            top = min(stop, len(path) - 1)
             while i < top and word[i] == before[i]:
                 i += 1
-            del lasts[i + 1 :]
-            stop = n - 1 if self.end else n
-            for j in range(i + 1, stop + 1):
-                for k in range(j if j < longest else longest, 0, -1):
-                    if (t := inner.get(word[j - k : j])) is not None:
-                        ok = pairs.get((lasts[j - k], t))
-                        if ok or ok is None and self.stays(lasts[j - k], t):
-                            lasts.append(t)
-                            break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
+            del path[i + 1 :]
+            state = path[i]
+            for c in word[i:stop]:
+                to = get(state << 9 | c)
+                state = self._step(state, c) if to is None else to
+                path.append(state)
             before = word
             ids, at = [], n
-            if self.end and n:
-                t = self.last(self.final, word, n, lasts)
+            if end and n:
+                c = word[-1] + FINAL
+                to = get(state << 9 | c)
+                t = last[self._step(state, c) if to is None else to]
                 ids.append(t)
-                at -= lens[t]
+                at -= sizes[t]
             while at:
-                ids.append(lasts[at])
-                at -= lens[lasts[at]]
+                t = last[path[at]]
+                ids.append(t)
+                at -= sizes[t]
             ids.reverse()
             out[word] = ids
         return out
 
-    def _lens(self) -> dict[int, int]:
-        if not hasattr(self, "_lengths"):
-            self._lengths = {i: len(t) for i, (t, _) in self.text.items()}
-        return self._lengths
-
-
-def latin(text: str) -> str:
-    return text.encode().decode("latin-1")
-
 
 class WordCodec:
     """Encoding and decoding with a vocabulary of words that end in a marker, in lower case and without white space.
 
-    A text is cut at spaces; the pieces and their ids are kept, and the words of new pieces are encoded together by their
-    trie. Texts that hold a special token or a character beyond PLAIN go to the library.
+    The words of a batch of texts that the table lacks are encoded together by their trie. Special tokens cut a text.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, bits: int = BITS):
         self.library = Tokenizer.from_str(vocabulary)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.bpe = PrefixBpe(vocabulary)
-        self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
-        self.split = regex.compile(WORD_PATTERN).findall
-        self.kind = "H" if self.library.get_vocab_size(True) <= 1 << 16 else "I"
-        self.shown = [self.library.id_to_token(i) or "" for i in range(max(self.bpe.names) + 1)]
-        self.pieces = Pieces(CACHE * 4 // 10)
-
-    def run(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """The ids, as little-endian 32-bit integers, and the decoded text of each text."""
-        ready: list[list[str] | None] = []
-        seen: set[str] = set()
-        for text in texts:
-            if any(s in text for s in self.special) or FOREIGN(text) is not None:
-                ready.append(None)
-                continue
-            parts = unicodedata.normalize("NFC", text).lower().split(" ")
-            ready.append(parts)
-            seen.update(parts)
-        words = {p: [latin(w) for w in self.split(p)] for p in self.pieces.missing(seen)}
-        codes = {w: array(self.kind, i).tobytes() for w, i in self.bpe.encode_words({w for ws in words.values() for w in ws}).items()}
-        found = self.pieces.new
-        for p, ws in words.items():
-            found[p] = b"".join(map(codes.__getitem__, ws))
-        out = []
-        for text, parts in zip(texts, ready, strict=True):
-            if parts is None:
-                e = self.library.encode(text, add_special_tokens=False)
-                out.append((array("I", e.ids).tobytes(), self.library.decode(e.ids, skip_special_tokens=False)))
-            else:
-                ids = np.frombuffer(b"".join(map(found.__getitem__, parts)), self.kind)
-                out.append((ids.astype(np.uint32).tobytes(), " ".join(map(self.shown.__getitem__, ids.tolist()))))
-        return out
+        self.special = {t["content"]: t["id"] for t in json.loads(vocabulary)["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
+        kind = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.shown = pa.array([self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size(True))])
+        self.kinds, self.table = Kinds(), WordTable(kind, bits)
+
+    def plain(self, text: str) -> str:
+        """A text as the vocabulary's normalizer gives it, but for white space."""
+        if not settled(text):
+            return self.library.normalizer.normalize_str(text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() has a form of its own for the last one of a word
+        return text.lower()
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts without special tokens, one after the other, and where each text's begin."""
+        batch = Batch(list(map(self.plain, texts)), self.kinds)
+        cuts = np.flatnonzero(batch.word_cuts())
+        kinds = batch.kinds[cuts]
+        words = np.flatnonzero((kinds != SPACE) & (kinds != WHITE))
+        starts, ends, raw = batch.at[cuts[words]], batch.at[np.append(cuts[1:], len(batch.codes))[words]], batch.raw
+        whole = raw.tobytes()
+
+        def encode(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+            own = [whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            codes = self.bpe.encode_words(own)
+            return [codes[w] for w in own]
+
+        ids, sizes = self.table.ids(raw, starts, ends, encode)
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        return ids, upto[np.searchsorted(cuts[words], batch.texts)]
+
+    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The ids of all texts one after the other, where each text's begin, and the decoded texts."""
+        if any(s in t for s in self.special for t in texts):
+            parts = [self.cut(t) for t in texts]
+            ids, begins = self.ids([p for ps in parts for p in ps[::2]])
+            own = iter(np.split(ids, begins[1:-1]))
+            out = []
+            for ps in parts:
+                for i, p in enumerate(ps):
+                    out.append(np.array([self.special[p]], ids.dtype) if i % 2 else next(own))
+            sizes = np.cumsum([0, *map(len, out)])
+            ids, begins = np.concatenate(out), sizes[np.cumsum([0, *map(len, parts)])]
+        else:
+            ids, begins = self.ids(texts)
+        return ids, begins, pc.binary_join(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), self.shown.take(pa.array(ids))), " ")
 
 
 class ByteCodec:
-    """What the tokenizers library gives for a byte-level vocabulary, from a cache of the pieces between spaces.
-
-    A space before a character that isn't white begins a new token, and so does any space after such a character, so
-    pieces cut at single spaces encode alone as they do in the text. A new piece of letters and marks is made of words of
-    the vocabulary's pattern, which go to the library's model as such; any other new piece goes to the library as it is.
-    Texts with a space next to other white space on its right or at their end, with a special token, or with a character
-    that ODD finds go to the library whole.
-    """
+    """What the tokenizers library gives for a byte-level vocabulary: a batch of texts is cut into words by the vocabulary's
+    pattern, and the library's model encodes each distinct word that the table lacks. Texts with a special token go to the
+    library whole."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, bits: int = BITS):
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
-        self.kind = "H" if self.library.get_vocab_size(True) <= 1 << 16 else "I"
-        self.pieces = Filled(self.piece, CACHE * 6 // 5)  # of pieces, with the space before them
-        self.known_marks: dict[str, list[int]] = {}
-        self.model, self.feed = self.library.model.tokenize, self.library.encode("\n").ids
-        shown = {b: c for c, b in byte_chars().items()}
-        self.space = shown[" "]
-        self.table = str.maketrans({b: c for b, c in shown.items() if b != c})
-
-    def _model(self, text: str) -> list[int]:
-        """Ids of one word of the vocabulary's pattern; text has no white space but a leading space."""
-        return [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(self.table))]
-
-    def marks(self, text: str) -> list[int]:
-        """Ids of a run of marks; there are few different ones."""
-        if (v := self.known_marks.get(text)) is None:
-            if len(self.known_marks) > 10_000:
-                self.known_marks.clear()
-            v = self.known_marks[text] = [t.id for t in self.model(text)]
-        return v
-
-    def piece(self, p: str) -> bytes:
-        """The ids of a piece after a space, or, after FIRST, of the first piece of a text."""
-        space = " "
-        if p.startswith(FIRST):
-            p, space = p[1:], ""
-        if (m := WORD_AND_MARKS(p)) is None:
-            return array(self.kind, self.library.encode(space + p, add_special_tokens=False).ids).tobytes()
-        word, marks, line, marks2 = m.groups()
-        ids = [t.id for t in self.model(self.space + word if space else word)] if word.isascii() else self._model(space + word)
-        if marks:
-            ids += self.marks(marks)
-        if line:  # a line feed between characters that aren't white is a word by itself
-            ids += self.feed
-            ids += [t.id for t in self.model(line)] if line.isascii() else self._model(line)
-            if marks2:
-                ids += self.marks(marks2)
-        return array(self.kind, ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers."""
-        self.pieces.room()
-        get, kind, special = self.pieces.__getitem__, np.dtype(self.kind), self.special
-        out = []
-        for text in texts:
-            if "  " in text or " \n" in text or text.endswith(" ") or ODD(text) is not None or any(s in text for s in special):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join(map(get, (FIRST + text).split(" "))), kind).astype(np.uint32))
-        return out
+        kind = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.kinds, self.table = Kinds(), WordTable(kind, bits)
+        shown = np.empty(256, "<u2")
+        for c, b in byte_chars().items():
+            shown[ord(b)] = ord(c)
+        self.shown = shown
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts without special tokens, one after the other, and where each text's begin."""
+        batch = Batch(texts, self.kinds)
+        cuts = np.flatnonzero(batch.byte_cuts())
+        starts, ends, raw, tokenize = batch.at[cuts], batch.at[np.append(cuts[1:], len(batch.codes))][: len(cuts)], batch.raw, self.library.model.tokenize
+
+        def encode(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+            size = b - a
+            upto = np.cumsum(size)
+            chars = self.shown[raw[np.repeat(a - (upto - size), size) + np.arange(int(upto[-1]))]].tobytes().decode("utf-16-le")
+            return [[t.id for t in tokenize(chars[x:y])] for x, y in zip((upto - size).tolist(), upto.tolist(), strict=True)]
+
+        ids, sizes = self.table.ids(raw, starts, ends, encode)
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        return ids, upto[np.searchsorted(cuts, batch.texts)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin."""
+        easy = [not any(map(t.__contains__, self.special)) for t in texts]
+        ids, begins = self.ids([t for t, e in zip(texts, easy, strict=True) if e])
+        if all(easy):
+            return ids, begins
+        own = iter(np.split(ids, begins[1:-1]))
+        out = [next(own) if e else np.array(self.library.encode(t, add_special_tokens=False).ids, ids.dtype) for t, e in zip(texts, easy, strict=True)]
+        return np.concatenate([np.empty(0, ids.dtype), *out]), np.cumsum([0, *map(len, out)])

@@ -23,8 +23,8 @@ BROADCAST_ROWS = 20_000
 SALTS = 64
 
 
-#: Rows of an Arrow batch at most, and characters of the texts that a Python function holds in pieces at a time.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch at most, and characters of the texts that a Python function holds in pieces at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 BATCH_CHARS = 1 << 20
 #: Settings of a worker's allocators: one arena, and what is freed goes back to the system.
 FREEING = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
@@ -33,10 +33,12 @@ FREEING = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MAL
 def expose(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package where they share the driver's file system; ship it with --py-files elsewhere.
 
-    Arrow batches get few rows, because texts can be long, and workers give memory back that they have freed. Every
-    operator with a Python function calls this first.
+    Arrow batches get few rows and bytes, because texts can be long, unless the session sets its own; workers give memory
+    back that they have freed. Every operator with a Python function calls this first.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, usual, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "256MB", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", usual) in (usual, str(256 << 20), f"{256 << 20}b"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(own))
     spark.sparkContext.environment.update(FREEING)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment

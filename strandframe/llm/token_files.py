@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ByteCodec
-from .common import documents, expose, groups, kept, lookup_join, stored
+from .common import SALTS, documents, expose, groups, kept, lookup_join, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -38,7 +38,7 @@ BLOCK = 1024
 SLAB = 32
 PERCENTILE = 90
 #: Ids of a file, or few more.
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 18
 FILES = "part int, seq int, first long, n_docs long, n_tokens long, data binary"
 
 
@@ -139,15 +139,16 @@ class TokenFile:
 
 
 def _codec(vocabulary: str) -> ByteCodec:
-    """One for each vocabulary and worker; its cache lives from task to task."""
+    """One for each vocabulary and worker; its table of words lives from task to task."""
     return kept((ByteCodec, hash(vocabulary)), lambda: ByteCodec(vocabulary))
 
 
 def write_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """The table of files, written to the shared folder, in ascending order of id, nulls first, over (part, seq).
 
-    Texts are dealt out by ranges of id and sorted there, rows that repeat an id by their text; a task encodes its range
-    and holds one file's ids at a time. first is the number of ids in the part before the file. A null text is an
+    Texts are dealt out by ranges of id and sorted there, rows that repeat an id by a hash of their text, so that neither
+    these nor rows without an id make one range; rows that repeat both go to any of SALTS places there. A task encodes its
+    range and holds one file's ids at a time. first is the number of ids in the part before the file. A null text is an
     empty one and has the end id alone. No rows give no files. Extra columns are not read.
     """
     vocabulary = expose(docs.sparkSession).sparkContext.broadcast(Path(vocabulary_path).read_text())
@@ -157,7 +158,6 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         held = seq = first = 0
-        end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
             row = [[part], [seq], [first], [len(ids)], [held], [write_file(names, ids)]]
@@ -166,10 +166,12 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         for batch in batches:
             texts, own = batch.column("text").to_pylist(), batch.column("id").to_pylist()
             for lo, hi in groups(texts):
-                for name, code in zip(own[lo:hi], codec.encode(texts[lo:hi]), strict=True):
+                flat, begins = codec.encode(texts[lo:hi])
+                flat = np.insert(flat.astype(np.uint32), begins[1:], np.uint32(end_id))
+                for name, code in zip(own[lo:hi], np.split(flat, begins[1:-1] + np.arange(1, hi - lo)), strict=True):
                     names.append(name)
-                    ids.append(np.append(code, end))
-                    held += len(ids[-1])
+                    ids.append(code)
+                    held += len(code)
                     if held >= file_ids:
                         yield flush()
                         seq, first, held, names, ids = seq + 1, first + held, 0, [], []
@@ -177,7 +179,9 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stored(rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, FILES))
+    keyed = rows.select("id", "text", F.xxhash64("text").alias("h"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).alias("salt"))
+    dealt = keyed.repartitionByRange("id", "h", "salt").sortWithinPartitions("id", "h", "salt").select("id", "text")
+    return stored(dealt.mapInArrow(run, FILES))
 
 
 def read_tokens(files: DataFrame, id_col: str = "doc_id", values: bool = False) -> DataFrame:

@@ -16,8 +16,10 @@ from .bpe import WordCodec
 from .common import documents, expose, groups, kept
 
 VOCABULARY = "word_bpe_49k.json"
+
+
 def _codec(vocabulary: str) -> WordCodec:
-    """One for each vocabulary and worker; its cache lives from task to task."""
+    """One for each vocabulary and worker; its table of words lives from task to task."""
     return kept((WordCodec, hash(vocabulary)), lambda: WordCodec(vocabulary))
 
 
@@ -41,18 +43,23 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n, a, b = [], [], []
+            texts, n, a, b = batch.column("text").to_pylist(), [], [], []
             for lo, hi in groups(texts):
-                for ids, decoded in codec.run(texts[lo:hi]):
-                    n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest() if digest else ids)
-                    b.append(hashlib.sha256(decoded.encode()).hexdigest() if digest else decoded)
-            if digest:
-                first = pa.array(a, pa.string())
-            else:
-                first = pa.ListArray.from_arrays(np.cumsum([0, *n], dtype=np.int32), np.frombuffer(b"".join(a), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), first, pa.array(b, pa.string())], names=[f.name for f in fields])
+                ids, begins, decoded = codec.run(texts[lo:hi])
+                n.append(np.diff(begins))
+                ids = ids.astype("<i4" if not digest else "<u4")
+                if digest:
+                    raw, at = memoryview(ids.tobytes()), (4 * begins).tolist()
+                    a.append(pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(at, at[1:], strict=False)], pa.string()))
+                    b.append(pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in decoded], pa.string()))
+                else:
+                    a.append(pa.array(ids))
+                    b.append(decoded)
+            sizes = np.concatenate([np.empty(0, np.int64), *n])
+            first, second = pa.concat_arrays(a) if a else pa.array([], pa.string() if digest else pa.int32()), pa.concat_arrays(b) if b else pa.array([], pa.string())
+            if not digest:
+                first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), first)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), first, second], names=[f.name for f in fields])
 
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, T.StructType(fields))
     return out.withColumnRenamed("id", id_col)
