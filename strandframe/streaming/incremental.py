@@ -18,7 +18,7 @@ from ..scheme import DEFAULT, ScoringScheme
 def pack(graph: Graph) -> bytes:
     """A graph as compressed JSON, which any version can read."""
     place = {id(r): k for k, r in enumerate({id(r): r for r in graph.rings}.values())}
-    data = {"symbols": graph.symbols, "before": [list(b.items()) for b in graph.before], "after": [list(a) for a in graph.after], "rings": [place[id(r)] for r in graph.rings], "passing": graph.passing}
+    data = {"symbols": graph.symbols, "before": [list(b.items()) for b in graph.before], "after": [list(a) for a in graph.after], "rings": [place[id(r)] for r in graph.rings], "mates": graph.mates, "passing": graph.passing, "listing": graph.listing}
     return zlib.compress(json.dumps(data).encode())
 
 
@@ -27,7 +27,7 @@ def unpack(raw: bytes) -> Graph:
     rings: dict[int, list[int]] = {}
     for v, k in enumerate(data["rings"]):
         rings.setdefault(k, []).append(v)
-    return Graph(data["symbols"], [dict(map(tuple, b)) for b in data["before"]], [dict.fromkeys(a) for a in data["after"]], [rings[k] for k in data["rings"]], data["passing"])
+    return Graph(data["symbols"], [dict(map(tuple, b)) for b in data["before"]], [dict.fromkeys(a) for a in data["after"]], [rings[k] for k in data["rings"]], data["mates"], data["passing"], data["listing"])
 
 
 def incremental(df: DataFrame, group: str = "set_id", order: str = "seq_idx", sequence: str = "sequence", scheme: ScoringScheme = DEFAULT, idle: str = "none", timeout_ms: int = 0) -> DataFrame:

@@ -8,8 +8,8 @@ from strandframe.functions.kernels import align, rescore, score_batch
 from strandframe.scheme import DEFAULT, ScoringScheme
 
 SCHEMES = [DEFAULT, ScoringScheme(0, -1, -1, 0), ScoringScheme(1, -1, -1, 0), ScoringScheme(2, -3, -2, -4), ScoringScheme(5, -1, -1, -1)]
-#: Sequence files with documented results are known by what they hold: a pair of 10,000 symbols, and five of 5,000.
-FILES = sorted(Path(os.environ.get("SEQUENCE_EXAMPLES", "/root")).glob("*/example/**/*.fa"))
+#: Sequence files with documented results, in the folder SEQUENCE_EXAMPLES, are known by what they hold: a pair of 10,000 symbols, and five of 5,000.
+FILES = sorted(Path(os.environ["SEQUENCE_EXAMPLES"]).glob("**/*.fa")) if "SEQUENCE_EXAMPLES" in os.environ else []
 
 
 def cell_by_cell(a, b, s):
