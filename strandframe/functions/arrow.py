@@ -26,8 +26,10 @@ def _chunks(pairs: list[tuple[str, str]]) -> list[list[int]]:
     return out
 
 
-def scores(a: Column, b: Column, scheme: ScoringScheme = DEFAULT) -> Column:
-    """struct(global_score, max_cell_score); memory grows with the length of the longer string. Null if either is."""
+def scores(a: Column, b: Column, scheme: ScoringScheme = DEFAULT, once: bool = False) -> Column:
+    """struct(global_score, max_cell_score); memory grows with the length of the longer string. Null if either is.
+
+    once keeps Spark from working it out a second time for a filter on the scores."""
 
     @F.pandas_udf("global_score bigint, max_cell_score bigint")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -39,7 +41,8 @@ def scores(a: Column, b: Column, scheme: ScoringScheme = DEFAULT) -> Column:
                 total[i], cell[i] = u, v
         return pd.DataFrame({"global_score": total, "max_cell_score": cell})
 
-    return F.when(a.isNotNull() & b.isNotNull(), run(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    kernel = run.asNondeterministic() if once else run
+    return F.when(a.isNotNull() & b.isNotNull(), kernel(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
 
 
 def aligned(a: Column, b: Column, scheme: ScoringScheme = DEFAULT) -> Column:

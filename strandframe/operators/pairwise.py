@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import arrow, hof
 from ..scheme import DEFAULT, ScoringScheme
 
+#: Rows of a block of all_pairs().
+PAIR_ROWS = 500
+
 
 def score_pairs(df: DataFrame, a: str = "a", b: str = "b", scheme: ScoringScheme = DEFAULT, method: str = "arrow", at_least: int | None = None) -> DataFrame:
     """df with global_score and max_cell_score.
@@ -24,14 +27,32 @@ def score_pairs(df: DataFrame, a: str = "a", b: str = "b", scheme: ScoringScheme
             raise ValueError("this scheme isn't an edit distance")
         out = df.withColumn("global_score", hof.edit_score(x, y))
     elif method in ("arrow", "catalyst"):
-        kernel = arrow.scores if method == "arrow" else hof.scores
-        d = df.withColumn("_s", kernel(x, y, scheme))
+        score = arrow.scores(x, y, scheme, once=at_least is not None) if method == "arrow" else hof.scores(x, y, scheme)
+        d = df.withColumn("_s", score)
         out = d.withColumns({"global_score": F.col("_s.global_score"), "max_cell_score": F.col("_s.max_cell_score")}).drop("_s")
     else:
         raise ValueError("method must be arrow, catalyst or edit")
     return out if at_least is None else out.where(F.col("global_score") >= at_least)
 
 
+def all_pairs(df: DataFrame, key: str, rows: int = PAIR_ROWS) -> DataFrame:
+    """Each two rows of df once, the one with the smaller key first: columns x and y, structs of df's columns. Rows of equal
+    keys are no pair.
+
+    Rows are dealt into blocks of about `rows`, and each two blocks meet in an equi-join, so that no side is broadcast
+    and no task holds more than two blocks; a row is sent as often as there are blocks.
+    """
+    blocks = max(1, -(-df.count() // rows))
+    own = df.select(F.struct(*df.columns).alias("_r"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
+    meet = lambda name, first, last: own.select(F.col("_r").alias(name), "_b", F.explode(F.sequence(first, last)).alias("_c"))
+    x = meet("x", F.col("_b"), F.lit(blocks - 1)).select("x", F.col("_b").alias("_i"), F.col("_c").alias("_j"))
+    y = meet("y", F.lit(0), F.col("_b")).select("y", F.col("_c").alias("_k"), F.col("_b").alias("_l"))
+    met = x.join(y.hint("shuffle_hash"), (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l")))
+    small, large = F.least(f"x.{key}", f"y.{key}"), F.col(f"x.{key}") < F.col(f"y.{key}")
+    met = met.where((F.col(f"x.{key}") != F.col(f"y.{key}")) & ((F.col("_i") < F.col("_j")) | (F.col(f"x.{key}") == small)))
+    return met.select(F.when(large, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(large, F.col("y")).otherwise(F.col("x")).alias("y"))
+
+
 def align_pairs(df: DataFrame, a: str = "a", b: str = "b", scheme: ScoringScheme = DEFAULT) -> DataFrame:
     """df with global_score, max_cell_score, swapped, row_a, row_b and ops; rows are given for a and b as they came."""
     d = df.withColumn("_s", arrow.aligned(F.col(a), F.col(b), scheme))

@@ -17,6 +17,8 @@ from ..functions.kernels import LOW, boundary, codes
 from ..scheme import CELL_FLOOR, DEFAULT, ScoringScheme
 
 TILE = 4096
+#: Symbols of both sequences together at most: they are broadcast, 4 bytes each, and so much again goes to the driver and back.
+SYMBOLS = 1 << 26
 _BORDER = ("top", "gaps_down", "left", "gaps_right")
 
 
@@ -46,6 +48,8 @@ def tile(x: np.ndarray, y: np.ndarray, top: np.ndarray, down: np.ndarray, left:
 def score_tiled(spark: SparkSession, a: str, b: str, scheme: ScoringScheme = DEFAULT, size: int = TILE) -> tuple[int, int]:
     """global_score and max_cell_score of one pair. An empty sequence needs no tile."""
     x, y = codes(a), codes(b)
+    if len(x) + len(y) > SYMBOLS:
+        raise ValueError(f"the sequences have more than {SYMBOLS} symbols together")
     if len(y) > len(x):
         x, y = y, x
     n, m = len(y), len(x)

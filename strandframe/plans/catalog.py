@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hof
-from ..operators import multiple, pairwise
+from ..functions import sql as sql_functions
+from ..operators import multiple, pairwise, wavefront
 from ..scheme import DEFAULT, DEFAULT_BLOCK, ScoringScheme
-from ..sources import files
+from ..sources import datasource, files
 from ..streaming import incremental as stream
 from . import oracle
 
@@ -56,10 +57,9 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each two distinct part names once, as scores are symmetric. Names come from a fixed list of words."""
+    """Each two distinct part names once, as scores are symmetric."""
     p = table(spark, sf_dir, "part").select("p_name").distinct()
-    x, y = p.select(F.col("p_name").alias("a")), p.select(F.col("p_name").alias("b"))
-    return x.join(y, F.col("a") < F.col("b")).select(F.col("a").alias("k1"), F.col("b").alias("k2"), "a", "b")
+    return pairwise.all_pairs(p, "p_name").select(F.col("x.p_name").alias("k1"), F.col("y.p_name").alias("k2"), F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b"))
 
 
 def dna_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +209,51 @@ def nw_dna_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.align_pairs(dna_pairs(spark, sf_dir)).select("item_id", "global_score", "max_cell_score", "swapped", "row_a", "row_b", "ops")
 
 
+_HEADS = f"x AS (SELECT item_id, {oracle.DNA}[1:40] AS s FROM benchmark), near AS (SELECT x.item_id, x.s AS a, y.s AS b FROM x JOIN x y ON y.item_id = x.item_id + 1)"
+_HEAD_PAIRS = "SELECT item_id::BIGINT AS k1, 0::BIGINT AS k2, a, b FROM near"
+
+
+def dna_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 nucleotides of the pairs, short enough for SQL to score; the whole ones are nw_dna_score's."""
+    return dna_pairs(spark, sf_dir).select("item_id", F.left("a", F.lit(40)).alias("a"), F.left("b", F.lit(40)).alias("b"))
+
+
+@_query(f"WITH RECURSIVE {_HEADS}, {oracle.dp(_HEAD_PAIRS)} SELECT k1 AS item_id, global_score, max_cell_score FROM scored")
+def nw_dna_head_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.score_pairs(dna_heads(spark, sf_dir)).select(F.col("item_id").cast("bigint").alias("item_id"), "global_score", "max_cell_score")
+
+
+@_query(f"WITH RECURSIVE {_HEADS}, {oracle.trace(_HEAD_PAIRS)} SELECT k1 AS item_id, swapped, row_a, row_b, ops FROM traced")
+def nw_dna_head_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.align_pairs(dna_heads(spark, sf_dir)).select(F.col("item_id").cast("bigint").alias("item_id"), "swapped", "row_a", "row_b", "ops")
+
+
+@_query(f"WITH RECURSIVE {oracle.dp(oracle.NAMES)} SELECT k1, k2, global_score, max_cell_score FROM scored")
+def sql_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar functions in SQL text."""
+    sql_functions.register(expose(spark))
+    return spark.sql("SELECT k1, k2, nw_score(a, b) AS global_score, nw_max_cell(a, b) AS max_cell_score FROM {pairs}", pairs=name_pairs(spark, sf_dir))
+
+
+@_query(f"""WITH RECURSIVE {oracle.trace(oracle.NAMES)} SELECT k1, k2, i::INT AS "column", row_a[i] AS symbol_a, row_b[i] AS symbol_b, ops[i] AS op
+FROM (SELECT *, unnest(generate_series(1, length(ops))) AS i FROM traced)""")
+def sql_alignment_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment function and a table function over its result, in SQL text."""
+    sql_functions.register(expose(spark))
+    aligned = spark.sql("SELECT k1, k2, nw_align(a, b) AS x FROM {pairs}", pairs=name_pairs(spark, sf_dir))
+    return spark.sql("SELECT k1, k2, c.* FROM {aligned}, LATERAL alignment_columns(x.row_a, x.row_b, x.ops) AS c", aligned=aligned)
+
+
+_LONG = "SELECT 0 AS k1, 0 AS k2, (SELECT string_agg(n_name, '' ORDER BY n_name) FROM nation) AS a, (SELECT string_agg(r_name, '' ORDER BY r_name) FROM region) AS b"
+
+
+@_query(f"WITH RECURSIVE {oracle.dp(_LONG)} SELECT global_score, max_cell_score FROM scored")
+def tiled_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pair whose matrix is cut into tiles for many tasks: the names of all nations and of all regions, two tables of fixed size."""
+    joined = lambda t, c: "".join(sorted(r[0] for r in table(spark, sf_dir, t).select(c).collect()))
+    return spark.createDataFrame([wavefront.score_tiled(spark, joined("nation", "n_name"), joined("region", "r_name"), size=24)], "global_score bigint, max_cell_score bigint")
+
+
 # files ---------------------------------------------------------------------------------------------------------------
 
 
@@ -240,6 +285,24 @@ def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_fasta(spark, path)
 
 
+@_query(f"SELECT 'item' || item_id AS name, 'length ' || length(text) AS comment, lower({oracle.DNA}) AS sequence FROM benchmark")
+def fasta_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read by format("fasta"), in gzip files."""
+    datasource.register(expose(spark))
+    items = _items(spark, sf_dir).select("name", "comment", "sequence")
+    items.write.format("fasta").mode("append").options(includeComment="true", baseCase="lower", gzip="true").save(path := _folder(spark, "format"))
+    return spark.read.format("fasta").load(path).select("name", "comment", "sequence")
+
+
+@_query(f"SELECT 'item' || item_id AS name, {oracle.DNA} AS sequence, repeat('@', length({oracle.DNA})) AS quality FROM benchmark")
+def fastq_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by format("fastq") and read by format("seqfile"), which tells the kind of file by itself."""
+    datasource.register(expose(spark))
+    items = _items(spark, sf_dir).select("name", "sequence", F.repeat(F.lit("@"), F.char_length("sequence")).alias("quality"))
+    items.write.format("fastq").mode("append").save(path := _folder(spark, "format"))
+    return spark.read.format("seqfile").load(path).select("name", "sequence", "quality")
+
+
 @_query(f"SELECT 'item' || item_id AS name, lower({oracle.DNA}) AS sequence, repeat('@', length({oracle.DNA})) AS quality FROM benchmark")
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gzip files whose quality lines all begin with the mark of a record."""
@@ -323,15 +386,15 @@ def poa_sink_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BRANDS = "SELECT DISTINCT p_brand AS set_id, p_name AS s FROM part"
 
 
-def _brand_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _brand_sets(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """The distinct part names of each brand, in the order of the names."""
     d = table(spark, sf_dir, "part").select(F.col("p_brand").alias("set_id"), F.col("p_name").alias("s")).distinct()
-    return multiple.progressive(d, order="s", sequence="s", name="s")
+    return multiple.progressive(d, order="s", sequence="s", name="s", fields=fields)
 
 
 @_query(f"SELECT set_id, sum(length(s) - 1)::BIGINT AS weight FROM ({_BRANDS}) GROUP BY set_id")
 def poa_edge_weight_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple.graph_edges(_brand_sets(spark, sf_dir)).groupBy("set_id").agg(F.sum("weight").alias("weight"))
+    return multiple.graph_edges(_brand_sets(spark, sf_dir, "edges")).groupBy("set_id").agg(F.sum("weight").alias("weight"))
 
 
 @_query(f"WITH RECURSIVE {oracle.dp(oracle.NAMES)} SELECT k1 * 100 + k2 AS set_id, global_score AS end_score FROM scored")
@@ -345,12 +408,12 @@ def poa_two_seq_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT set_id, s AS name, s AS sequence FROM ({_BRANDS})")
 def msa_degap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple.msa_rows(_brand_sets(spark, sf_dir)).select("set_id", "name", F.translate("row", "-", "").alias("sequence"))
+    return multiple.msa_rows(_brand_sets(spark, sf_dir, "rows")).select("set_id", "name", F.translate("row", "-", "").alias("sequence"))
 
 
 @_query("SELECT DISTINCT p_brand AS set_id, 1::BIGINT AS widths FROM part")
 def msa_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple.msa_rows(_brand_sets(spark, sf_dir)).groupBy("set_id").agg(F.count_distinct(F.char_length("row")).alias("widths"))
+    return multiple.msa_rows(_brand_sets(spark, sf_dir, "rows")).groupBy("set_id").agg(F.count_distinct(F.char_length("row")).alias("widths"))
 
 
 @_query("SELECT DISTINCT p_name AS set_id, p_name AS consensus FROM part")
@@ -370,27 +433,27 @@ def heaviest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def poa_progressive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple.rounds(_brand_sets(spark, sf_dir))
+    return multiple.rounds(_brand_sets(spark, sf_dir, "rounds"))
 
 
 @_query()
 def poa_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple.graph_nodes(_brand_sets(spark, sf_dir))
+    return multiple.graph_nodes(_brand_sets(spark, sf_dir, "nodes"))
 
 
 @_query()
 def msa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple.msa_rows(_brand_sets(spark, sf_dir))
+    return multiple.msa_rows(_brand_sets(spark, sf_dir, "rows"))
 
 
 @_query()
 def msa_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiple.msa_consensus(_brand_sets(spark, sf_dir))
+    return multiple.msa_consensus(_brand_sets(spark, sf_dir, "consensus"))
 
 
 @_query()
 def msa_sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _brand_sets(spark, sf_dir).select("set_id", files.msa_text().alias("record"))
+    return _brand_sets(spark, sf_dir, "rows", "consensus").select("set_id", files.msa_text().alias("record"))
 
 
 @_query("SELECT n_regionkey::BIGINT AS set_id, count(*)::INT AS n_sequences, sum(length(n_name) - 1)::BIGINT AS weight FROM nation GROUP BY n_regionkey")

@@ -11,7 +11,6 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -22,6 +21,11 @@ from .parse import records
 FIELDS = "path string, seq_id long, format string, name string, comment string, sequence string, quality string"
 
 
+def mounted(path: str) -> str:
+    """A path of Spark as one of the file system."""
+    return path.removeprefix("file://").removeprefix("file:")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -36,7 +40,7 @@ class _Written(WriterCommitMessage):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, form: str):
-        self.form, path = form, options.get("path", "")
+        self.form, path = form, mounted(options.get("path", ""))
         if os.path.isdir(path):
             self.paths = sorted(p for p in glob.glob(f"{path}/*") if os.path.isfile(p) and os.path.basename(p)[0] not in "._")
         else:
@@ -48,15 +52,16 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        for i, r in enumerate(records(Path(partition.path).read_bytes(), self.form)):
-            yield (partition.path, i, *r)
+        with open(partition.path, "rb", buffering=0) as f:  # read as records are asked for, whatever the file's size
+            for i, r in enumerate(records(f, self.form)):
+                yield (partition.path, i, *r)
 
 
 class _Writer(DataSourceWriter):
     """Each task writes a file under a temporary name; the names become final together on commit."""
 
     def __init__(self, options: dict, form: str, schema: StructType, overwrite: bool):
-        self.path, self.form, self.names, self.overwrite = options["path"], form, schema.names, overwrite
+        self.path, self.form, self.names, self.overwrite = mounted(options["path"]), form, schema.names, overwrite
         self.width = int(options.get("linewidth", 80))
         self.comment = str(options.get("includecomment", "false")).lower() == "true"
         self.case, self.gzip = options.get("basecase", "original"), str(options.get("gzip", "false")).lower() == "true"

@@ -1,7 +1,7 @@
 """Sequence files as DataFrames, on any file system that Spark reaches, and back.
 
-read_sequences() opens whole files (plain or gzip, told by their first bytes); scan_fasta() splits large plain FASTA
-files and stays in the JVM. Writers form the records' text with column functions and leave the files to Spark.
+read_sequences() opens whole files (plain or gzip, told by their first bytes; Spark reads 2 GB of a file that way, and
+format("fastq") any size from mounted paths); scan_fasta() splits large plain FASTA files and stays in the JVM. Writers form the records' text with column functions and leave the files to Spark.
 """
 
 from __future__ import annotations
@@ -46,16 +46,30 @@ def read_sequences(spark: SparkSession, path: str | list[str], form: str = "auto
 
 def scan_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """name, comment, sequence of FASTA files (plain, or with a codec's file name). Files are split where a line starts
-    with >, so a large one is many tasks', and records are taken apart by Catalyst expressions. A file must begin with >."""
-    text = spark.read.option("lineSep", "\n>").text(path).select("value")
-    # only the first record of a file still has its mark, after which its header begins; a later one starts with its header
-    body = F.when(F.startswith("value", F.lit(">")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
-    lines = F.split(body, "\n")
+    with >, so a large one is many tasks', and records are taken apart by Catalyst expressions.
+
+    A file must begin with > or a blank line; another one, such as FASTQ, is an error. To know each file's first record, the
+    only one that still has its mark, files are read once more, for a number a file.
+    """
+    text = spark.read.option("lineSep", "\n>").text(path).select("value", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    heads = text.where("_at = 0").groupBy("_file").agg(F.min(F.struct("_row", F.substr("value", F.lit(1), F.lit(1)).alias("mark"))).alias("head"))
+    bad = heads.where("head.mark not in ('>', '\n', '\r', '')").select("_file").first()
+    if bad is not None:
+        raise ValueError(f"not a FASTA file: {bad[0]}")
+    first = heads.select(F.col("head._row").alias("_first"))
+    text = text.join(first, F.col("_row") == F.col("_first"), "left")
+    marked = F.startswith("value", F.lit(">"))
+    text = text.where(F.col("_first").isNull() | marked)  # what stands before a file's first mark is blank
+    lines = F.split(F.when(F.col("_first").isNotNull(), F.substr("value", F.lit(2))).otherwise(F.col("value")), "\n")
     header = F.get(lines, F.lit(0))
     rest = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_replace(x, "\r$", "")), lambda x: x != "")
     return text.select(hof.header_name(header).alias("name"), hof.header_comment(header).alias("comment"), F.array_join(rest, "").alias("sequence"))
 
 
+def _sequence(case: str) -> Column:
+    return hof.folded(F.coalesce(F.col("sequence"), F.lit("")), case)
+
+
 def _header(mark: str, include_comment: bool) -> Column:
     comment = F.coalesce(F.col("comment"), F.lit(""))
     head = F.concat(F.lit(mark), F.coalesce(F.col("name"), F.lit("")))
@@ -63,12 +77,12 @@ def _header(mark: str, include_comment: bool) -> Column:
 
 
 def fasta_text(line_width: int = 80, include_comment: bool = False, case: str = "original") -> Column:
-    """The record of a row with name, comment and sequence, without a line feed at its end."""
-    return F.concat(_header(">", include_comment), F.lit("\n"), F.array_join(hof.wrapped(hof.folded(F.col("sequence"), case), line_width), "\n"))
+    """The record of a row with name, comment and sequence, without a line feed at its end. Nulls are written as empty."""
+    return F.concat(_header(">", include_comment), F.lit("\n"), F.array_join(hof.wrapped(_sequence(case), line_width), "\n"))
 
 
 def fastq_text(include_comment: bool = False, case: str = "original") -> Column:
-    return F.concat(_header("@", include_comment), F.lit("\n"), hof.folded(F.col("sequence"), case), F.lit("\n+\n"), F.col("quality"))
+    return F.concat(_header("@", include_comment), F.lit("\n"), _sequence(case), F.lit("\n+\n"), F.coalesce(F.col("quality"), F.lit("")))
 
 
 def _with_comment(df: DataFrame) -> DataFrame:

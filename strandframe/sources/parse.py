@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 FORMATS = ("fasta", "fastq")
 #: First bytes of a gzip member.
@@ -19,10 +20,10 @@ def guess_format(text: str) -> str:
     return "fasta" if fq < 0 or 0 <= fa < fq else "fastq"
 
 
-def open_text(raw: bytes) -> io.TextIOBase:
-    """Lines of a file's bytes; gzip is known by its first bytes, whatever the name."""
-    stream = io.BytesIO(raw)
-    data = gzip.GzipFile(fileobj=stream) if raw[:2] == GZIP_MAGIC else stream
+def open_text(raw: bytes | BinaryIO) -> io.TextIOBase:
+    """Lines of a file's bytes, or of a file that is read as lines are asked for; gzip is known by its first bytes, whatever the name."""
+    stream = io.BufferedReader(io.BytesIO(raw) if isinstance(raw, bytes) else raw)
+    data = gzip.GzipFile(fileobj=stream) if stream.peek(2)[:2] == GZIP_MAGIC else stream
     return io.TextIOWrapper(data, encoding="utf-8", errors="replace", newline="\n")
 
 
@@ -80,7 +81,7 @@ def read_fastq(lines: Iterable[str]) -> Iterator[tuple[str, str, str, str]]:
         yield *header, "".join(seq), "".join(qual)
 
 
-def records(raw: bytes, form: str = "auto") -> Iterator[tuple[str, str, str, str, str | None]]:
+def records(raw: bytes | BinaryIO, form: str = "auto") -> Iterator[tuple[str, str, str, str, str | None]]:
     """Format, name, comment, sequence, quality of each record. A form that the file isn't of is an error, as is a file
     without a mark if it isn't empty."""
     text = open_text(raw)

@@ -1,13 +1,14 @@
 """Operators and queries on DataFrames."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from strandframe.functions import arrow, hof
-from strandframe.operators import multiple, pairwise
+from strandframe.operators import multiple, pairwise, wavefront
 from strandframe.plans import catalog
 from strandframe.scheme import DEFAULT, ScoringScheme
 from strandframe.streaming import incremental as stream
@@ -105,3 +106,36 @@ def test_tiles_give_the_score(spark, size):
 
     for a, b in [*pairs(5, 3), ("", "ab"), ("", ""), ("acbacbacba", "abcaabcbcacbb")]:
         assert score_tiled(spark, a, b, SCHEMES[3], size) == cell_by_cell(*((a, b) if len(a) >= len(b) else (b, a)), SCHEMES[3])
+
+
+def test_all_pairs_meet_once(spark):
+    rng = random.Random(6)
+    names = [f"n{rng.randrange(10**6)}" for _ in range(150)]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate([*names, names[0]])], "name string, at int")
+    for rows in (7, 1000):
+        met = pairwise.all_pairs(df, "name", rows).select("x.name", F.col("y.name").alias("other"), "x.at", F.col("y.at").alias("b")).collect()
+        want = sorted((p, q, i, j) for i, p in enumerate([*names, names[0]]) for j, q in enumerate([*names, names[0]]) if p < q)
+        assert sorted(map(tuple, met)) == want
+    plan = pairwise.all_pairs(df, "name")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert pairwise.all_pairs(df.limit(0), "name").count() == 0
+
+
+def test_scores_above_a_bound_are_worked_out_once(spark):
+    df = spark.createDataFrame([("abc", "abd"), ("abc", "xyz"), (None, "a")], "a string, b string")
+    scored = pairwise.score_pairs(df, at_least=-5)
+    assert [(r.a, r.b) for r in scored.collect()] == [("abc", "abd")]
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_only_the_wanted_fields_are_made(spark):
+    df = spark.createDataFrame([(1, 0, "abc"), (1, 1, "abd")], "set_id int, seq_idx int, sequence string")
+    assert multiple.progressive(df, fields=["consensus"]).columns == ["set_id", "consensus"]
+    assert multiple.msa_rows(multiple.progressive(df, fields=["rows"])).count() == 2
+
+
+def test_tiles_refuse_what_is_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(wavefront, "SYMBOLS", 5)
+    with pytest.raises(ValueError, match="more than 5 symbols"):
+        wavefront.score_tiled(spark, "abc", "abc")

@@ -1,4 +1,6 @@
 import gzip
+import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +69,60 @@ def test_formats_of_spark_read(spark, tmp_path):
     assert spark.read.format("fastq").load(str(tmp_path / "fq")).first().quality == "IIIIII"
     with pytest.raises(Exception, match="not fastq"):
         spark.read.format("fastq").load(str(tmp_path / "a.fa")).count()
+
+
+def test_nulls_are_written_as_empty(spark, tmp_path):
+    register(spark)
+    df = spark.createDataFrame([("a", None, None, None), ("b", "x", "AC", None), (None, None, "G", "I")], "name string, comment string, sequence string, quality string")
+    files.write_fasta(df, str(tmp_path / "fa"))
+    assert sorted((r.name, r.sequence) for r in files.read_sequences(spark, str(tmp_path / "fa")).collect()) == [("", "G"), ("a", ""), ("b", "AC")]
+    files.write_fastq(df.where("sequence is null or quality is not null"), str(tmp_path / "fq"))
+    assert sorted((r.name, r.sequence, r.quality) for r in files.read_sequences(spark, str(tmp_path / "fq")).collect()) == [("", "G", "I"), ("a", "", "")]
+    df.write.format("fasta").mode("append").save(str(tmp_path / "own"))
+    own, plain = (sorted(x for p in d.glob("part-*") for x in p.read_text().splitlines()) for d in (tmp_path / "own", tmp_path / "fa"))
+    assert own == plain  # one rule in both writers
+
+
+def test_both_readers_agree(spark, tmp_path):
+    texts = {"a.fa": FASTA, "b.fa": ">>first mark\nAC\n>>second\nGG\n>third\n", "c.fa": "\n\n>x\nA\n\n>>y z\nC\n", "d.fa": "", "e.fa": "\n", "f.fa": ">only"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    for name in [*texts, ""]:
+        want = files.read_sequences(spark, str(tmp_path / name)).select("name", "comment", "sequence").collect()
+        assert sorted(files.scan_fasta(spark, str(tmp_path / name)).collect()) == sorted(want), name
+
+
+def test_a_large_file_is_split_and_its_first_record_known(spark, tmp_path):
+    (tmp_path / "large.fa").write_text("".join(f">>r{i} c\nACGT{i}\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = files.scan_fasta(spark, str(tmp_path / "large.fa"))
+        assert df.rdd.getNumPartitions() > 4
+        assert {(r.name, r.sequence) for r in df.collect()} == {(f">r{i}", f"ACGT{i}") for i in range(4000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("text", [FASTQ, "words\n>a\nAC\n", "@r\nAC\n+\nII\n"])
+def test_scan_refuses_other_files(spark, tmp_path, text):
+    (tmp_path / "x.fa").write_text(text)
+    with pytest.raises(ValueError, match="not a FASTA file"):
+        files.scan_fasta(spark, str(tmp_path))
+
+
+def test_records_are_read_as_they_are_asked_for(tmp_path):
+    class Counted(io.FileIO):
+        got = 0
+
+        def readinto(self, buffer):
+            n = super().readinto(buffer)
+            Counted.got += n
+            return n
+
+    raw = b"@r\nA\n+\nI\n" + b"".join(b"@%s\nA\n+\nI\n" % random.Random(i).randbytes(40).hex().encode() for i in range(20_000))
+    for name, content in (("a.fq", raw), ("a.gz", gzip.compress(raw))):
+        (tmp_path / name).write_bytes(content)
+        Counted.got = 0
+        with Counted(tmp_path / name) as f:
+            assert next(records(f))[1] == "r"
+            assert 0 < Counted.got < 200_000 < (tmp_path / name).stat().st_size
