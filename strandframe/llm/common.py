@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters between words: space, and tab to carriage return.
@@ -70,6 +70,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return expose(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+#: Folders of intermediate tables that this driver has made and not removed.
+_FOLDERS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
     sc = spark.sparkContext
@@ -82,6 +86,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = f"{base}/strandframe-{uuid.uuid4().hex}"
     hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _FOLDERS.append(path)
     return path
 
 
@@ -93,6 +98,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s table, stored, without the intermediate tables that it took: they are removed once it is written."""
+    before = len(_FOLDERS)
+    out = stored(make())
+    own, done = _FOLDERS[-1], _FOLDERS[before:-1]
+    _FOLDERS[before:] = [own]
+    for path in done:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. lower() does just that on pure ASCII and is much faster than translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -135,35 +152,58 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", l
     return b.join(s, b[key].eqNullSafe(s["_key"]) & (b["_salt1"] == s["_salt2"]), how).drop("_key", "_salt1", "_salt2")
 
 
-#: Bits of a bitmap of hashed keys: 4 MB, whatever the input.
-BITS = 1 << 25
-
-
-def slot(*keys: Column) -> Column:
-    """The bit of a key."""
-    return F.pmod(F.xxhash64(*keys), F.lit(BITS))
+#: Bits of a bitmap of hashed keys: for each key so many, as a power of two, from the least to the most (16 MB).
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 
 
-def bitmap(slots: DataFrame) -> DataFrame:
-    """Bitmaps of the column slot: BITS / 32768 rows of 4 KB at most."""
-    return stored(slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
+def bitmap(keys: DataFrame) -> tuple[DataFrame, int]:
+    """Bitmaps of the column key, a 64-bit hash, in rows of 4 KB at most, and their bits together.
 
-
-def marked(df: DataFrame, of: Column, bits: DataFrame, name: str) -> DataFrame:
-    """df with a boolean column: whether the bit is set. The bitmaps are broadcast; their size is fixed by BITS."""
-    d = df.withColumn("_bucket", F.bitmap_bucket_number(of)).withColumn("_pos", F.bitmap_bit_position(of))
+    The size follows from the number of keys. Beyond MOST_BITS it stays, and more rows are marked by chance; what marks
+    are used for is to leave work out, so that changes no result.
+    """
+    keys = stored(keys.select("key"))
+    bits = LEAST_BITS
+    n = keys.count()
+    while bits < min(MOST_BITS, KEY_BITS * n):
+        bits *= 2
+    at = F.pmod("key", F.lit(bits))
+    return stored(keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))), bits
+
+
+def marked(df: DataFrame, key: Column, of: tuple[DataFrame, int], name: str) -> DataFrame:
+    """df with a boolean column: whether the bit of key is set; a null key's isn't. The bitmaps are broadcast, MOST_BITS at most."""
+    rows, bits = of
+    at = F.pmod(key, F.lit(bits))
+    d = df.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_pos", F.bitmap_bit_position(at))
     byte = F.conv(F.hex(F.substr(F.col("_bits"), (F.col("_pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.coalesce(F.getbit(byte, (F.col("_pos") % 8).cast("int")) == 1, F.lit(False))
-    b = bits.select(F.col("bucket").alias("_b"), F.col("bits").alias("_bits"))
+    b = rows.select(F.col("bucket").alias("_b"), F.col("bits").alias("_bits"))
     return d.join(F.broadcast(b), F.col("_bucket") == F.col("_b"), "left").select(*df.columns, is_set.alias(name))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_of: Column, most: int, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs with a column _label, for at most `most` ids that have a label and for which fold_of holds.
+def bounded_rows(rows: DataFrame, most: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`most` rows at most, and no more than the first of them beyond `chars` characters of text, in the order of a hash of
+    the id, then the id and a hash of the text; rows that repeat both count once. Rows are taken or left whole.
+
+    What decides are `most` rows of a few numbers. rows is stored already and has no column of these names: _h, _t, _n.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = rows.withColumn("_h", F.xxhash64(id_col)).withColumn("_t", F.xxhash64(text)).withColumn("_n", F.char_length(text))
+    first = keyed.select("_h", F.col(id_col).alias("_i"), "_t", "_n").distinct().orderBy("_h", "_i", "_t").limit(most)
+    upto = F.sum("_n").over(Window.orderBy("_h", "_i", "_t").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = stored(first.withColumn("_upto", F.coalesce(upto, F.lit(0))).where(F.col("_upto") + F.col("_n") <= chars).select("_i", F.col("_t").alias("_u")))
+    found = keyed.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")))
+    return found.dropDuplicates([id_col, "_t"]).select(*rows.columns)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_of: Column, most: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text and _label of at most `most` rows, and `chars` characters or so, of docs that have a label and for which fold_of holds.
 
-    Which ids is fixed by a hash of the id. Of several labels of one id the highest counts. The ids, `most` rows of two
-    numbers, are what is broadcast.
+    Which rows is fixed by a hash of the id. Of several labels of one id the highest counts. The ids, `most` rows of two
+    numbers, are what is broadcast; a repeated id can't add rows beyond the bounds.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & fold_of).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
     ids = stored(ids.orderBy(F.xxhash64("_id"), "_id").limit(most))
-    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).drop("_id")
+    held = stored(docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select(id_col, text_col, "_label"))
+    return bounded_rows(held, most, chars, id_col, text_col)

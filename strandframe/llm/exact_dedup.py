@@ -1,9 +1,10 @@
 """Exact duplicates by progressive refinement: length, then a hash of the prefix, then a hash of the whole text.
 
-Everything is built-in DataFrame functions. Levels one and two are one aggregation over (length, prefix hash); only
-the first PREFIX characters are hashed there. The pairs that hold several rows become a bitmap of BITS bits (4 MB at
-most, whatever the input), which is broadcast, and the second scan hashes whole texts only where the bit is set. A bit
-shared by chance costs a hash and changes nothing, because rows are grouped by the hash of the whole text in the end.
+Everything is built-in DataFrame functions. The first level counts rows by length; the second hashes the first PREFIX
+characters of rows whose length another row has, and counts (length, hash) pairs; the third hashes whole texts of rows
+whose pair another row has. What repeats on a level becomes a bitmap as large as the number of repeated keys asks for, 16 MB
+at most, which is broadcast to the next one's scan. A bit shared by chance costs a hash and changes nothing, because rows
+are grouped by the hash of the whole text in the end.
 """
 
 from __future__ import annotations
@@ -11,37 +12,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, bitmap, documents, lower_ascii, marked, slot, stored
+from .common import SALTS, bitmap, documents, lower_ascii, marked, stored
 
 PREFIX = 64
 
 
-def _levels(text: Column) -> tuple[Column, Column]:
-    # lower-casing A-Z leaves the number of bytes as it is, so the length needs no normalised text
-    return F.octet_length(text).cast("long"), F.xxhash64(lower_ascii(F.substring(text, 1, PREFIX)))
+def _length(text: Column) -> Column:
+    return F.octet_length(text).cast("long")  # lower-casing A-Z leaves it as it is
+
+
+def _prefix(text: Column) -> Column:
+    return F.xxhash64(lower_ascii(F.substring(text, 1, PREFIX)))
 
 
 def _sha(text: Column) -> Column:
     return F.sha2(lower_ascii(text).cast("binary"), 256)
 
 
-def _repeated(texts: DataFrame) -> DataFrame:
-    """Bitmaps of the (length, prefix hash) pairs that more than one row has."""
-    length, prefix = _levels(F.col("text"))
-    pairs = texts.select(length.alias("len"), prefix.alias("pfx")).groupBy("len", "pfx").agg(F.count(F.lit(1)).alias("n"))
-    return bitmap(pairs.where("n > 1").select(slot(F.col("len"), F.col("pfx")).alias("slot")))
+def _repeated(rows: DataFrame, *keys: str) -> tuple[DataFrame, int]:
+    """Bitmaps of the keys that more than one row has; equal keys of a task are counted before they are shuffled."""
+    return bitmap(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64(*keys).alias("key")))
+
+
+class Levels:
+    """The bitmaps of the first two levels over the column text of a table."""
+
+    def __init__(self, texts: DataFrame):
+        self.lengths = _repeated(texts.select(_length(F.col("text")).alias("len")), "len")
+        self.pairs = _repeated(self.second(texts).where("pfx is not null").select("len", "pfx"), "len", "pfx")
 
+    def second(self, texts: DataFrame) -> DataFrame:
+        """texts with len and pfx, which is null where the length is the row's own."""
+        d = marked(texts.withColumn("len", _length(F.col("text"))), F.xxhash64("len"), self.lengths, "_long")
+        return d.withColumn("pfx", F.when(F.col("_long"), _prefix(F.col("text")))).drop("_long")
 
-def _marked(texts: DataFrame, bits: DataFrame) -> DataFrame:
-    return marked(texts, slot(*_levels(F.col("text"))), bits, "again")
+    def again(self, texts: DataFrame) -> DataFrame:
+        """texts with a boolean column again: whether the row reaches the third level."""
+        key = F.when(F.col("pfx").isNotNull(), F.xxhash64("len", "pfx"))
+        return marked(self.second(texts), key, self.pairs, "again").drop("len", "pfx")
 
 
-def _decisions(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> tuple[DataFrame, DataFrame]:
-    """The bitmaps, and row, id, sha, keep_id, keep_row, size of every row of docs."""
+def _decisions(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> tuple[Levels, DataFrame]:
+    """The first levels, and row, id, sha, keep_id, keep_row, size of every row of docs."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = _repeated(texts)
+    levels = Levels(texts)
     sha = _sha(F.col("text"))
-    rows = _marked(texts, bits)
+    rows = levels.again(texts)
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "again", (sha if digest else F.when(F.col("again"), sha)).alias("sha"))
     rows = stored(rows)  # narrow; row numbers stay as they are from here on
 
@@ -51,7 +67,7 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> tup
     spread = part.select("sha", "salt").join(whole, "sha")  # at most SALTS rows for a group of any size
     grouped = again.join(spread, ["sha", "salt"]).select("row", "id", "sha", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "size")
     alone = rows.where("not again").select("row", "id", "sha", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("size"))
-    return bits, grouped.unionByName(alone)
+    return levels, grouped.unionByName(alone)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -69,13 +85,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup() drops, all columns as they are.
 
-    Rows whose bit is clear pass without a shuffle. The others meet the (id, hash) of the rows that stay, which is one
-    row per group; rows that repeat an id and a text are reduced to one among those.
+    Rows that don't reach the third level pass without a shuffle. The others meet the (id, hash) of the rows that stay, which
+    is one row per group; of rows that repeat an id and a text each task keeps one before they are shuffled.
     """
-    bits, out = _decisions(docs, id_col, text_col, digest=False)
+    levels, out = _decisions(docs, id_col, text_col, digest=False)
     stay = stored(out.where("size > 1 and row = keep_row").select(F.col("id").alias("_id"), F.col("sha").alias("_sha")))
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = _marked(packed, bits)
+    found = levels.again(packed)
     several = found.where("again").withColumn("sha", _sha(F.col("text")))
     sole = out.where("size = 1 and sha is not null").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))  # a bit shared by chance
     keys = stay.unionByName(sole)

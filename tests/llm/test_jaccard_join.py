@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from strandframe.llm.jaccard_join import keep_one_of_group, near_duplicates, spots
+from strandframe.llm.jaccard_join import HOT, keep_one_of_group, near_duplicates, refined, scan, spots
 from strandframe.llm.shingle_trie import LinkTrie
 from strandframe.llm.shingles import shingle_sets
 
@@ -99,11 +99,11 @@ def test_known_components_are_not_linked_again():
     assert len(LinkTrie(sets, known=[b"a", b"a", b"c", b"b", b"b"]).links()) == 1
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 100_000), (2, 300), (4, 60)])
-def test_components_match_brute_force(spark, seed, block):
+@pytest.mark.parametrize(("seed", "block", "most_sets"), [(1, 100_000, 300), (2, 300, 300), (4, 60, 300), (1, 100_000, 3)])
+def test_components_match_brute_force(spark, seed, block, most_sets):
     rows = [(i * 3 if i % 40 else None, t) for i, t in enumerate(corpus(seed))] + [(2000, "same words again here now ok"), (2000, "same words again here now ok")]
     df = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, n int, key string").repartition(6)
-    out = near_duplicates(df, block=block).collect()
+    out = near_duplicates(df, block=block, most_sets=most_sets).collect()
     want, n_groups = brute(rows)
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in out if True) == want
     assert sum(r.kept for r in out) == n_groups
@@ -112,6 +112,61 @@ def test_components_match_brute_force(spark, seed, block):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == sorted((r.doc_id or -1) for r in out if r.kept)
 
 
+def common_passages(seed, n=240):
+    """Every text has one passage, of a fifth to nearly all of its shingles; some texts are near copies of others."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    out = []
+    for i in range(n):
+        if i % 6 == 5:
+            w = out[rng.randrange(len(out))].split()
+            w[rng.randrange(len(w))] = word()
+            out.append(" ".join(w))
+        else:
+            out.append(" ".join([*(word() for _ in range(rng.choice([2, 9, 14, 40, 200]))), passage, *(word() for _ in range(rng.choice([0, 3, 30])))]))
+    return out
+
+
+@pytest.mark.parametrize(("block", "most_sets"), [(100_000, 300), (100_000, 4), (400, 300)])
+def test_an_element_that_all_sets_have(spark, block, most_sets):
+    rows = list(enumerate(common_passages(8)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = near_duplicates(df, block=block, most_sets=most_sets).collect()
+    want, n_groups = brute(rows)
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in out) == want
+    assert 1 < n_groups < len(rows) and sum(r.kept for r in out) == n_groups
+    _, hot = scan(df, "doc_id", "text")
+    assert hot.where(f"n >= {HOT}").count() > 50  # the passage's elements are known as common
+
+
+def test_common_passages_tie_nothing_in_a_refined_cluster(spark):
+    texts = common_passages(9)
+    sets = [s.tobytes() for s in shingle_sets(texts)]
+    rows = spark.createDataFrame([(1, str(i).encode(), s) for i, s in enumerate(sets)] * 2, "cluster long, sig binary, shingles binary")
+    got = {}
+    for r in refined(rows).collect():
+        got.setdefault(r.cluster, set()).add(int(r.sig))
+    own = [shingles(t) for t in texts]
+    together = {i: c for c, g in got.items() for i in g}
+    for i in range(len(texts)):
+        for j in range(i):
+            if linked(own[i], own[j]) and own[i] != own[j]:
+                assert together[i] == together[j]
+    assert max(map(len, got.values())) < len(texts) // 2  # those of which nearly all is the passage
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    near = [*long[:110_000], *(f"v{k}" for k in range(10_000))]
+    far = [*long[:70_000], *(f"u{k}" for k in range(50_000))]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, "x" * 500_000), (5, "x" * 500_000 + " a")]
+    out = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.component_id for i, r in out.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert out[4].n_shingles == 1 and out[1].n_shingles == len(shingles(rows[0][1]))
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
