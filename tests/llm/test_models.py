@@ -1,6 +1,9 @@
 """The learnt scorers: held-out accuracy, and rows at the edges."""
 
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -29,7 +32,9 @@ def toxic_rows(rng, n):
 
 def test_toxicity_learns_and_locates(spark):
     rng = random.Random(4)
-    weights, bias = toxicity.train(*zip(*((t, y) for _, t, y in toxic_rows(rng, 800)), strict=True))
+    known = {}
+    weights, bias = toxicity.train(*zip(*((toxicity.bags(t, known), y) for _, t, y in toxic_rows(rng, 800)), strict=True))
+    assert bias != toxicity.BIAS  # it is trained, too
     held = toxic_rows(rng, 300)
     df = spark.createDataFrame([(i, t, 0) for i, t, _ in held] + EDGES, SCHEMA)
     out = toxicity.toxicity(df, weights, bias).collect()
@@ -44,12 +49,102 @@ def test_toxicity_learns_and_locates(spark):
 
 
 def test_toxicity_without_both_classes():
-    assert toxicity.train([], []) == toxicity.train(["a b"], [0]) == toxicity.train(["a b"] * 9, [1] * 9) == ({}, toxicity.BIAS)
+    bag = toxicity.bags("a b", {})
+    assert toxicity.train([], []) == toxicity.train([bag], [0]) == toxicity.train([bag] * 9, [1] * 9) == ({}, toxicity.BIAS)
+
+
+def test_bags_and_scores_match_brute_force():
+    rng = random.Random(5)
+    weights = {i: rng.normalvariate(0, 3) for w in ("ab", "abcd", "abcde", "zot") for i in toxicity.features(w)}
+    texts = ["", ". .", "Ab abcd! zot", "abcde zot\nab ab. x", "a" * 300 + "? ab"]
+    texts += [" ".join(rng.choice(["ab", "ABCD", "abcde.", "zot\n", "q!"]) for _ in range(30)) for _ in range(20)]
+    for t in texts:
+        own = [set(re.findall(r"\w+", s)) for s in re.split(r"[.!?\n]+", t.lower()) if s]
+        ids, sizes = toxicity.bags(t, {})
+        assert [sorted({zlib.crc32(f.encode()) % toxicity.BUCKETS for w in s for f in [w, *(w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k)]}) for s in own] == [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] or not len(sizes)
+        z = [sum(weights.get(f, 0) for w in s for f in toxicity.features(w)) - 2 for s in own]
+        want = 1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z)
+        got, bad = toxicity.score(t, toxicity.Weights(weights), -2.0)
+        assert abs(got - want) < 1e-9 and len(bad) == sum(1 / (1 + math.exp(-x)) >= toxicity.CUT for x in z)
+
+
+def test_noisy_or_gradient_matches_differences():
+    rng = np.random.default_rng(1)
+    word, sentence, doc = rng.integers(0, 6, 60), np.sort(rng.integers(0, 15, 60)), np.sort(rng.integers(0, 5, 15))
+    toxic, weight, w, b = np.array([True, False, True, False, True]), rng.random(5), rng.normal(size=6), -0.7
+    f = lambda w, b: toxicity.loss_gradient(w, b, word, sentence, doc, toxic, weight)
+    _, gw, gb = f(w, b)
+    eps = 1e-6
+    for i in range(6):
+        step = eps * (np.arange(6) == i)
+        assert abs((f(w + step, b)[0] - f(w - step, b)[0]) / (2 * eps) - gw[i]) < 1e-5
+    assert abs((f(w, b + eps)[0] - f(w, b - eps)[0]) / (2 * eps) - gb) < 1e-5
+
+
+def test_toxicity_query(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").collect()}
+    got = toxicity.query(spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
+        assert all(0 <= s.start < s.end <= len(rows[r.doc_id]) for s in r.offending)
+    held = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    a, b = (np.array([s for s, y in held if y == k]) for k in (1, 0))
+    assert (a[:, None] > b).mean() > 0.8
+
+
+def test_sample_is_bounded_by_rows_and_characters(spark):
+    rows = [(1, "copy", 0)] * 500 + [(1, f"other {i}", 0) for i in range(500)] + [(i, "x" * 100, 0) for i in range(2, 60)] + [(None, "null", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h int")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    found = labelled_sample(df, labels, "quality", F.lit(True), 40, 10**6)
+    assert found.count() == 40 and found.columns == ["doc_id", "text", "_label"]  # an id's rows don't go beyond the bound
+    few = labelled_sample(df.where("doc_id > 1"), labels, "quality", F.lit(True), 50, 1000).collect()
+    assert len(few) == 10 and {tuple(r) for r in few} == {tuple(r) for r in labelled_sample(df.where("doc_id > 1").repartition(5), labels, "quality", F.lit(True), 50, 1000).collect()}
+
+
+def test_ranking_gradient_matches_differences():
+    rng = np.random.default_rng(2)
+    z, w = rng.normal(size=(9, 5)), rng.normal(size=5)
+    first, second = rng.integers(0, 9, 30), rng.integers(0, 9, 30)
+    _, g = quality_ranking.loss_gradient(w, z, first, second)
+    for i in range(5):
+        step = 1e-6 * (np.arange(5) == i)
+        up, down = (quality_ranking.loss_gradient(w + k * step, z, first, second)[0] for k in (1, -1))
+        assert abs((up - down) / 2e-6 - g[i]) < 1e-5
+    gap = [w @ (z[a] - z[b]) for a, b in zip(first, second, strict=True)]
+    want = sum(math.log1p(math.exp(-x)) for x in gap) / 30 + quality_ranking.RIDGE / 2 * w @ w
+    assert abs(quality_ranking.loss_gradient(w, z, first, second)[0] - want) < 1e-9
+
+
+def test_ranking_features_match_brute_force():
+    text = "Ab, ab 12 | longestwordhere.\nAb, ab 12 | longestwordhere.\n\nx é9"
+    got = dict(zip(quality_ranking.NAMES, quality_ranking.features(text), strict=True))
+    words = text.split()
+    assert got["log_words"] == math.log1p(len(words)) and got["distinct"] == len(set(words)) / len(words)
+    assert got["top_word"] == max(map(words.count, words)) / len(words)
+    assert got["word_length"] == sum(map(len, words)) / len(words) and got["long_words"] == 2 / len(words)
+    assert got["upper"] == 2 / len(text) and got["digits"] == 5 / len(text) and got["pipes"] == 2 / len(words)
+    assert got["dup_lines"] == 1 - 2 / 3 and got["ends"] == 2 / 3 and got["letters"] == sum(map(str.isalpha, text)) / len(text)
+
+
+def test_ranking_query(spark):
+    folder = "/root/testdata/sf0.01"
+    ids = [r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null").collect()}
+    got = quality_ranking.query(spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    held = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    a, b = (np.array([s for s, y in held if y == k]) for k in (1, 0))
+    assert (a[:, None] > b).mean() > 0.95
 
 
 def test_bounds_hold_where_lower_case_is_longer():
     text = "İİİ. zot zot zot!"
-    _, bad = toxicity.score(text, toxicity.Weights({"zot": 20.0}), -9.0)
+    _, bad = toxicity.score(text, toxicity.Weights({toxicity.features("zot")[0]: 20.0}), -9.0)
     assert [text[a:b] for a, b, _ in bad] == [" zot zot zot"]
 
 
@@ -63,7 +158,7 @@ def test_ranking_separates_good_from_bad(spark):
         rows.append((i, t, 0))
     labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i in range(600)] + [(5, 1), (7, None), (None, 1)], "doc_id long, quality int")
     df = spark.createDataFrame(rows + EDGES, SCHEMA)
-    sample = labelled_sample(df, labels, "quality", F.col("doc_id") >= 0, 500)
+    sample = labelled_sample(df, labels, "quality", F.col("doc_id") >= 0, 500, 10**7)
     assert sample.count() == 500
     x, good = quality_ranking.sample_features(sample)
     model = quality_ranking.train(x, good)
