@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import documents, fold, stored
+from strandframe.llm.common import documents, finished, fold
 from strandframe.llm.exact_dedup import keep_one_copy
 from strandframe.llm.jaccard_join import keep_one_of_group
 from strandframe.llm.language_id import UNKNOWN, identify, learn
@@ -22,7 +24,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in which the network, trained on their labels, recognises a language."""
     net = learn(docs, fold(F.col("doc_id"), 5) != 0)
     found = identify(docs, net, keep=True)
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= SURE)).select(*docs.columns)
+    lang, score = found.columns[-2:]
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= SURE)).select(*docs.columns)
 
 
 def one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet and read again."""
+    """All stages over documents; what each returns is written as Parquet and read again, and then its intermediate tables go."""
     docs = documents(spark, sf_dir, *COLUMNS)
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = finished(spark, partial(stage, spark, docs, sf_dir))
     return docs

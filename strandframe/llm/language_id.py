@@ -1,9 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Each byte's input to the gates is a row of a table, one for either direction. Texts are cut into windows of WINDOW bytes;
-in each window one unit reads forwards and one backwards, and both states give every position a distribution over the
-languages. A document's probabilities are the mean over all its positions. The network is trained in numpy by
-backpropagation through time on windows of a bounded sample of labelled documents.
+Each byte's input to the gates is a row of a table, one for either direction. Texts are cut into windows of WINDOW bytes or
+a few less, so that no character is cut; in each window one unit reads forwards and one backwards, and both states give every
+position a distribution over the languages. A unit reads the WARM bytes before its window first, or behind it where it
+reads backwards, so that it enters the window in the state that the text around has left. A document's probabilities are
+the mean over all its positions. The network is trained in numpy by backpropagation through time on places drawn from the
+whole texts of a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -18,14 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, expose, fold, forget, groups, stored
+from .common import bounded_rows, documents, expose, fold, forget, groups, stored
 
-#: Labelled documents that are learnt from, at most, and bytes of each in which training windows lie; every text is read whole.
-SAMPLE, SAMPLE_BYTES = 4_000, 4_000
-#: Bytes of a window, units of a direction, windows that are read in step.
-WINDOW, HIDDEN, LANES = 128, 8, 4096
+#: Labelled documents that are learnt from, at most, and characters of them together; every text is read whole.
+SAMPLE, SAMPLE_CHARS = 4_000, 24_000_000
+#: Bytes of a window, bytes that are read before it, units of a direction, windows that are read in step.
+WINDOW, WARM, HIDDEN, LANES = 256, 32, 8, 2048
 STEPS, BATCH, LENGTH, RATE, SEED = 500, 192, 64, 0.02, 5
+#: Places that are drawn from each document of the sample.
+PLACES = 48
 UNKNOWN = "und"
+#: Stands for a byte that isn't there.
+NOTHING = 256
 _LETTER = regex.compile(r"\p{L}").search
 
 
@@ -81,22 +87,28 @@ class Network:
                 after = dh * z + dg @ p["loops"][d].T
         return out
 
-    def read(self, lanes: np.ndarray, sizes: np.ndarray, labels: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Sums over positions of the distributions for windows (N, T), longest first, of the given sizes; on demand the
-        language number at each position."""
-        p = self.params
-        n, steps = lanes.shape
+    def read(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, before: np.ndarray, behind: np.ndarray, labels: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Sums over positions of the distributions for windows of `size` bytes of flat from `start` on, which have `before`
+        and `behind` bytes to warm up on; on demand the language number at each position."""
+        p, n, steps = self.params, len(start), int(size.max(initial=0))
         hs = p["loops"].shape[1]
-        live = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()  # windows longer than t
-        x = np.ascontiguousarray(lanes.T)
+        order = np.argsort(-size, kind="stable")
+        at, size, before, behind = start[order], size[order], before[order], behind[order]
+        nth = np.arange(-WARM, steps + WARM)[:, None]
+        inside = (nth >= -before) & (nth < size + behind)
+        x = np.where(inside, flat[np.clip(at + nth, 0, max(len(flat) - 1, 0))], np.uint16(NOTHING))
+        live = np.searchsorted(-size, -np.arange(steps), side="left").tolist()  # windows longer than t
+        near = np.searchsorted(-size, WARM - np.arange(steps + WARM), side="left").tolist()  # the same, with what is behind them
         states, total = np.zeros((steps, n, hs), np.float32), np.zeros((n, len(self.langs)), np.float32)
         best = np.zeros((n, steps), np.int16) if labels else None
-        for d, order in enumerate((range(steps), range(steps - 1, -1, -1))):
-            tables, loops, h = p["tables"][d], p["loops"][d], np.zeros((n, hs), np.float32)
-            for t in order:
-                if not (k := live[t]):
+        for d, turn in enumerate((range(-WARM, steps), range(steps + WARM - 1, -1, -1))):
+            loops, h = p["loops"][d], np.zeros((n, hs), np.float32)
+            tables = np.concatenate([p["tables"][d], np.zeros((1, 3 * hs), np.float32)])
+            tables[NOTHING, :hs] = 1e6  # an update gate of 1 leaves the state as it is
+            for t in turn:
+                if not (k := near[t] if d else n if t < 0 else live[t]):
                     continue
-                own, a = h[:k], tables.take(x[t, :k], axis=0)
+                own, a = h[:k], tables.take(x[t + WARM, :k], axis=0)
                 g = own @ loops
                 zr = a[:, : 2 * hs]
                 zr += g[:, : 2 * hs]
@@ -109,11 +121,14 @@ class Network:
                 own -= c
                 own *= zr[:, :hs]
                 own += c
+                if t < 0 or t >= steps:
+                    continue
                 if d == 0:
                     states[t, :k] = own
                     continue
+                k = live[t]
                 e = states[t, :k] @ p["readout"][0]
-                e += own @ p["readout"][1]
+                e += own[:k] @ p["readout"][1]
                 e += p["bias"]
                 if labels:
                     best[:k, t] = e.argmax(axis=1)
@@ -121,35 +136,41 @@ class Network:
                 np.exp(e, out=e)
                 e /= e.sum(axis=1, keepdims=True)
                 total[:k] += e
-        return total, best
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        return total[back], best[back] if labels else None
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
-        """A row for each text: the mean distribution over all its bytes; an empty text's is uniform."""
-        out = np.zeros((len(texts), len(self.langs)))
+    @staticmethod
+    def windows(texts: list[str]) -> tuple[np.ndarray, ...]:
+        """All bytes one after the other, and of each window its text, start, size and the bytes before and behind it to warm up on."""
         raw = [t.encode(errors="replace") for t in texts]
         sizes = np.array([len(r) for r in raw], np.int64)
-        flat = np.frombuffer(b"".join(raw) + bytes(WINDOW), np.uint8)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(sizes)
         counts = -(-sizes // WINDOW)
         doc = np.repeat(np.arange(len(texts)), counts)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = np.repeat(np.cumsum(sizes) - sizes, counts) + nth * WINDOW
-        length = np.minimum(sizes[doc] - nth * WINDOW, WINDOW)
-        order = np.argsort(-length, kind="stable")
-        for i in range(0, len(order), LANES):
-            at = order[i : i + LANES]
-            total, _ = self.read(flat[start[at, None] + np.arange(WINDOW)], length[at])
+        start = np.repeat(ends - sizes, counts) + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts))
+        for _ in range(3):  # no window begins within a character
+            start -= (flat[start] & 0xC0) == 0x80 if len(flat) else 0
+        stop = np.append(start[1:], len(flat))
+        return flat, doc, start, stop - start, np.minimum(WARM, start - (ends - sizes)[doc]), np.minimum(WARM, ends[doc] - stop)
+
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: the mean distribution over all its bytes; an empty text's is uniform."""
+        out = np.zeros((len(texts), len(self.langs)))
+        flat, doc, start, size, before, behind = self.windows(texts)
+        for i in range(0, len(doc), LANES):
+            at = slice(i, i + LANES)
+            total, _ = self.read(flat, start[at], size[at], before[at], behind[at])
             np.add.at(out, doc[at], total)
-        out[sizes == 0] = 1
+        out[out.sum(axis=1) == 0] = 1
         return out / out.sum(axis=1, keepdims=True)
 
     def positions(self, text: str) -> list[str]:
         """The language at each byte of a text."""
-        raw = np.frombuffer(text.encode(errors="replace"), np.uint8)
-        out = []
-        for i in range(0, len(raw), WINDOW):
-            own = raw[i : i + WINDOW][None, :]
-            out += [self.langs[k] for k in self.read(own, np.array([own.shape[1]]), labels=True)[1][0]]
-        return out
+        flat, _, start, size, before, behind = self.windows([text])
+        _, best = self.read(flat, start, size, before, behind, labels=True)
+        return [self.langs[k] for row, n in zip(best, size.tolist(), strict=True) for k in row[:n]]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score; UNKNOWN and 0 for a text that is null or has no letter."""
@@ -162,11 +183,11 @@ class Network:
         return langs, scores
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = SEED, steps: int = STEPS) -> Network:
-    """Adam on the mean cross entropy over positions of windows drawn with a seed; each draw takes a document, then a place in it."""
+def train(places: list[bytes], labels: list[str], seed: int = SEED, steps: int = STEPS) -> Network:
+    """Adam on the mean cross entropy over positions of places drawn with a seed; of each LENGTH bytes at most are read."""
     langs = sorted(Counter(labels))
     net = Network.start(langs, seed)
-    own = [(t, langs.index(y)) for t, y in zip(texts, labels, strict=True) if t]
+    own = [(np.frombuffer(t[:LENGTH], np.uint8), langs.index(y)) for t, y in zip(places, labels, strict=True) if t]
     if len(langs) < 2 or not own:
         return net
     rng = np.random.default_rng(seed)
@@ -176,9 +197,7 @@ def train(texts: list[bytes], labels: list[str], seed: int = SEED, steps: int =
         x, y = np.zeros((LENGTH, BATCH), np.uint8), np.array([own[i][1] for i in pick])
         seen = np.zeros((LENGTH, BATCH), np.float32)
         for k, i in enumerate(pick.tolist()):
-            t = own[i][0]
-            at = int(rng.integers(0, max(1, len(t) - LENGTH + 1)))
-            part = np.frombuffer(t[at : at + LENGTH], np.uint8)
+            part = own[i][0]
             x[: len(part), k], seen[: len(part), k] = part, 1
         logits, kept = net.forward(x)
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
@@ -194,15 +213,18 @@ def train(texts: list[bytes], labels: list[str], seed: int = SEED, steps: int =
     return net
 
 
-def learn(docs: DataFrame, held_in, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Network:
-    """Train on rows of docs with a label and for which held_in (a Column) holds: `most` ids by a hash of the id, and of
-    longer texts a window of SAMPLE_BYTES characters at a place that the hash chooses. No more than that goes to the driver."""
-    d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & held_in)
-    ids = stored(d.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most))
-    at = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.greatest(F.char_length(text_col) - SAMPLE_BYTES, F.lit(0)) + 1).cast("int") + 1
-    rows = d.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id"))).select(F.substr(F.col(text_col), at, F.lit(SAMPLE_BYTES)).alias("t"), F.col(lang_col).alias("y")).collect()
-    rows = sorted(((r.t.encode(errors="replace"), r.y) for r in rows))
-    return train([t for t, _ in rows], [y for _, y in rows])
+def learn(docs: DataFrame, held_in, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
+    """Train on rows of docs with a label and for which held_in (a Column) holds: `most` rows and about `chars` characters at
+    most, by a hash of the id. From anywhere in each of their texts PLACES runs of LENGTH bytes are drawn, where they are;
+    only these go to the driver."""
+    d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & held_in).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("y"))
+    ids = stored(d.select(F.col("id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct())
+    rows = bounded_rows(stored(d.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")), most, chars, "id")
+    raw = F.col("text").cast("binary")
+    at = lambda k: (F.pmod(F.xxhash64("id", k), F.greatest(F.octet_length("text") - LENGTH, F.lit(0)) + 1) + 1).cast("int")
+    places = rows.select("y", F.transform(F.sequence(F.lit(1), F.lit(PLACES)), lambda k: F.substr(raw, at(k), F.lit(LENGTH))).alias("t")).collect()
+    drawn = sorted((bytes(t), r.y) for r in places for t in r.t)
+    return train([t for t, _ in drawn], [y for _, y in drawn])
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -210,11 +232,15 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
     A null text and one without a letter are UNKNOWN with score 0, and so is every text if nothing was learnt. Repeated
     rows get the same again, an empty table gives no rows, and columns but the id and the text are not looked at.
-    The network, a few thousand numbers, goes along with the function. Nothing is shuffled.
+    With keep the two new columns are named _lang_pred and _score, with further underscores where docs has such a column,
+    and are the last ones. The network, a few thousand numbers, is broadcast. Nothing is shuffled.
     """
     model = expose(docs.sparkSession).sparkContext.broadcast(net)
     if keep:
-        schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+        lang, score = "_lang_pred", "_score"
+        while {lang, score} & {c.lower() for c in docs.columns}:
+            lang, score = f"_{lang}", f"_{score}"
+        schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
         source, column = docs, text_col
     else:
         schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

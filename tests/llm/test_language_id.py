@@ -1,9 +1,10 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandframe.llm.language_id import UNKNOWN, WINDOW, Network, identify, learn, train
+from strandframe.llm.language_id import UNKNOWN, WARM, WINDOW, Network, identify, learn, query, train
 
 ALPHABETS = {"aa": "abcde ", "bb": "fghij ", "cc": "éüñklm "}
 
@@ -36,14 +37,49 @@ def test_windows_read_in_step_equal_one_by_one():
     rng = random.Random(1)
     texts = [text(rng, "aa", n) for n in (1, 5, WINDOW - 1, WINDOW, WINDOW + 1, 3 * WINDOW + 7)] + [""]
     for t, p in zip(texts, net.probabilities(texts), strict=True):
-        total = np.zeros(2)
+        total, labels = np.zeros(2), []
         raw = np.frombuffer(t.encode(), np.uint8)
         for i in range(0, len(raw), WINDOW):
-            logits = net.forward(raw[i : i + WINDOW][:, None])[0][:, 0]
-            e = np.exp(logits)
+            # either direction enters the window in the state that the WARM bytes on its side have left
+            a, own = max(0, i - WARM), min(WINDOW, len(raw) - i)
+            stop = min(len(raw), i + own + WARM)
+            forward, backward = sides(net, raw[a : i + own], raw[i:stop])
+            e = np.exp(forward[i - a :] + backward[:own] + net.params["bias"])
             total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+            labels += [net.langs[k] for k in e.argmax(axis=1)]
         assert np.allclose(p, total / max(len(raw), 1) if t else [0.5, 0.5], atol=1e-4)
-        assert len(net.positions(t)) == len(raw)
+        assert net.positions(t) == labels
+
+
+def sides(net, ahead, back):
+    """What each direction alone adds to the logits, by the training network's forward()."""
+    out = []
+    for d, raw in enumerate((ahead, back)):
+        alone = Network(net.langs, {**net.params, "readout": net.params["readout"].copy(), "bias": net.params["bias"] * 0})
+        alone.params["readout"][1 - d] = 0
+        out.append(alone.forward(raw[:, None])[0][:, 0])
+    return out
+
+
+def test_no_window_begins_within_a_character():
+    for t in ("é" * 1000, "日本" * 700, "a" + "😀" * 400, "abc", ""):
+        flat, doc, start, size, before, behind = Network.windows([t, "x" + t])
+        assert flat.tobytes() == (t + "x" + t).encode() and size.sum() == len(flat)
+        assert all((flat[s] & 0xC0) != 0x80 for s in start)
+        assert (before <= WARM).all() and (behind <= WARM).all() and (before[1:] >= np.where(doc[1:] == doc[:-1], 1, 0)).all()
+
+
+def test_query_learns_from_its_fold_and_tells_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = query(spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out and rows[r.doc_id].lang and len(rows[r.doc_id].text or "") > 20]
+    assert np.mean([r.lang_pred == rows[r.doc_id].lang for r in held]) > 0.97
+    other = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0, F.col("lang")).otherwise(F.lit("zz")))
+    net = learn(other, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    assert "zz" not in net.langs  # held-out labels aren't read
 
 
 def test_learns_from_labelled_rows_only(spark):
@@ -61,6 +97,8 @@ def test_learns_from_labelled_rows_only(spark):
     assert by[None].lang_pred == "bb" and by[903].lang_pred == "cc" and 0.5 < by[903].score <= 1
     kept = identify(df, net, keep=True)
     assert kept.columns == [*df.columns, "_lang_pred", "_score"] and kept.count() == len(out)
+    clash = df.withColumnRenamed("lang_pred", "_lang_pred").withColumn("__Score", F.lit(1))
+    assert identify(clash, net, keep=True).columns == [*clash.columns, "___lang_pred", "___score"]
     assert identify(df.limit(0), net).count() == 0
 
 
