@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from strandframe.llm.quality_rules import largest_count, quality_rules, text_statistics
+from strandframe.llm.quality_rules import largest_count, merging, quality_rules, query, text_statistics
 
 
 def brute(text):
@@ -61,3 +61,47 @@ def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c " * 10), (2, " ".join(map(str, range(30))))], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in quality_rules(docs, none).collect()} == {1: False, 2: True}
     assert quality_rules(docs.limit(0), none).count() == 0
+
+
+def test_strata_merge_until_a_cutoff_can_be_certain(spark):
+    names, sql = zip(*merging(100), strict=True)
+    for n in ([500, 500, 500, 500], [44, 139, 124, 26], [0, 0, 0, 0], [100, 0, 99, 1], [99, 1, 0, 100], [10, 10, 10, 300]):
+        row = spark.createDataFrame([n], "n0 long, n1 long, n2 long, n3 long")
+        for name, x in zip(names, sql, strict=True):
+            row = row.withColumn(name, F.expr(x))
+        got = list(row.select("s0", "s1", "s2", "s3").first())
+        want, held = [], 0
+        for k in n:
+            if want and held >= 100:
+                want.append(want[-1] + 1)
+                held = k
+            else:
+                want.append(want[-1] if want else 0)
+                held += k
+        if held < 100 and want[-1]:
+            want = [min(x, want[-1] - 1) for x in want]
+        assert got == want
+
+
+def test_rules_are_fitted_on_the_test_tables(spark):
+    """The SQL that the query is held against goes through the method: there are cutoffs, and they reject documents."""
+    out = query(spark, "/root/testdata/sf0.01")
+    assert out.where("not kept and not base_failed").count() > 0
+
+
+def test_rows_of_one_id_are_one_trial(spark):
+    rng = random.Random(3)
+    text = lambda bad: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) + "%%" * bad for _ in range(40))
+    rows = [(i, text(i % 3 == 0)) for i in range(90)]
+    many = rows * 40  # as often as would make a cutoff certain, if each row were a trial
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(90)], "doc_id long, quality int")
+    out = quality_rules(spark.createDataFrame(many, "doc_id long, text string"), labels)
+    assert out.where("not kept").count() == 0
+
+
+def test_long_words_are_told_apart(spark):
+    """Statistics have no ceiling: words of 150 characters are good, of 300 bad."""
+    rows = [(i, " ".join(f"{k}".rjust(300 if i % 5 == 0 else 150, "x") for k in range(i, i + 25))) for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(1500)], "doc_id long, quality int")
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert all(r.kept == (r.doc_id % 5 != 0) for r in out)
