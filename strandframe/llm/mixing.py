@@ -46,8 +46,9 @@ def _ends(sums: DataFrame, need: str, bucket: str) -> DataFrame:
     return c.where((F.col("_upto") - F.col("size") <= F.col(need)) & (F.col(need) < F.col("_upto"))).withColumn("_before", F.col("_upto") - F.col("size"))
 
 
-def _key(id_col: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+def _key(id_col: Column, text: Column, seed: int) -> Column:
+    """What orders documents: rows without an id take a hash of their text for it, so that they don't share one key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.concat(F.lit("text "), F.xxhash64(text)))).cast("binary"))
 
 
 def _lead() -> Column:
@@ -60,7 +61,7 @@ def _mark() -> Column:
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """id, source, size, hash (of the text), key, row of each row of docs, stored: the text is read once."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"), _key(F.col(id_col), seed).alias("key"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"), _key(F.col(id_col), F.col(text_col), seed).alias("key"), F.monotonically_increasing_id().alias("row"))
     return stored(rows)
 
 
@@ -117,7 +118,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = _plan(rows, epochs, weights)
     last, _ = _shares(rows, plan)
     edge = stored(last.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.sum(_copies()).alias("copies")))
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"), _key(F.col(id_col), seed).alias("key"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"), _key(F.col(id_col), F.col(text_col), seed).alias("key"))
     own = lookup_join(packed, plan, "source", "inner")
     extra = F.when(_lead() < _mark(), F.col("size")).otherwise(F.lit(0).cast("long"))
     inner = own.where(_mark().isNull() | (_lead() != _mark())).withColumn("extra", extra).select("doc", _copies().alias("copies"))
@@ -127,7 +128,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 ORACLE = f"""
-WITH rows_ AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH rows_ AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('{SEED}:' || doc_id::VARCHAR) AS key FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY source),
 ranked AS (SELECT *, {EPOCHS} * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM src),
 weighed AS (SELECT *, (rank % 3 + 1)::DOUBLE AS weight FROM ranked),
