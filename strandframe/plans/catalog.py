@@ -400,10 +400,77 @@ def poa_edge_weight_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH RECURSIVE {oracle.dp(oracle.NAMES)} SELECT k1 * 100 + k2 AS set_id, global_score AS end_score FROM scored")
 def poa_two_seq_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of a second sequence against the graph of the first is their pairwise score."""
+    return multiple.rounds(_pair_sets(spark, sf_dir, "rounds")).select("set_id", "end_score")
+
+
+def _pair_sets(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """Each nation with each region as a set of two sequences."""
     p = name_pairs(spark, sf_dir).withColumn("set_id", F.col("k1") * 100 + F.col("k2"))
     both = F.explode(F.array(F.struct(F.lit(0).alias("seq_idx"), F.col("a").alias("sequence")), F.struct(F.lit(1).alias("seq_idx"), F.col("b").alias("sequence"))))
-    sets = multiple.progressive(p.select("set_id", both.alias("x")).select("set_id", "x.*"))
-    return multiple.rounds(sets).select("set_id", "end_score")
+    return multiple.progressive(p.select("set_id", both.alias("x")).select("set_id", "x.*"), fields=fields)
+
+
+_PAIR_MSA = f"WITH RECURSIVE {oracle.pair_msa(oracle.NAMES)}"
+
+
+@_query(f"{_PAIR_MSA} SELECT k1 * 100 + k2 AS set_id, i::INT AS seq_idx, CASE WHEN i = 0 THEN row_a ELSE row_b END AS row FROM msa, (SELECT unnest([0, 1]) AS i)")
+def msa_rows_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple.msa_rows(_pair_sets(spark, sf_dir, "rows")).select("set_id", "seq_idx", "row")
+
+
+@_query(f"{_PAIR_MSA} SELECT k1 * 100 + k2 AS set_id, consensus FROM consensus")
+def msa_consensus_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple.msa_consensus(_pair_sets(spark, sf_dir, "consensus"))
+
+
+@_query(f"""{_PAIR_MSA} SELECT k1 * 100 + k2 AS set_id, '>1' || chr(10) || row_a || chr(10) || '>2' || chr(10) || row_b || chr(10) || 'consensus:' || chr(10) || consensus AS record
+FROM msa JOIN consensus USING (k1, k2)""")
+def msa_sink_text_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair_sets(spark, sf_dir, "rows", "consensus").select("set_id", files.msa_text().alias("record"))
+
+
+@_query(f"""{_PAIR_MSA}, g AS (SELECT k1 * 100 + k2 AS set_id, count(*)::INT AS nodes, count(*) FILTER (op IN ('I', 'X'))::INT AS nodes_added, max(length(a))::INT AS nodes_before FROM placed GROUP BY ALL),
+s AS (WITH RECURSIVE {oracle.dp(oracle.NAMES)} SELECT k1 * 100 + k2 AS set_id, global_score AS end_score FROM scored)
+SELECT set_id, 1 AS round, nodes_before, end_score, nodes_added FROM g JOIN s USING (set_id)""")
+def poa_rounds_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple.rounds(_pair_sets(spark, sf_dir, "rounds"))
+
+
+@_query(f"""{_PAIR_MSA}, n AS (SELECT k1 * 100 + k2 AS set_id, dense_rank() OVER (PARTITION BY k1, k2 ORDER BY k, phase, CASE WHEN op IN ('=', 'X') THEN 0 ELSE t END) - 1 AS col,
+  CASE op WHEN '=' THEN [struct_pack(base := a[ia], seq_ids := [0, 1])] WHEN 'X' THEN [struct_pack(base := a[ia], seq_ids := [0]), struct_pack(base := b[ib], seq_ids := [1])]
+  WHEN 'D' THEN [struct_pack(base := a[ia], seq_ids := [0])] ELSE [struct_pack(base := b[ib], seq_ids := [1])] END AS own FROM ordered)
+SELECT set_id, col::INT AS "column", x.base AS base, array_to_string(x.seq_ids, ',') AS seq_ids FROM (SELECT set_id, col, unnest(own) AS x FROM n)""")
+def poa_nodes_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple.graph_nodes(_pair_sets(spark, sf_dir, "nodes")).select("set_id", "column", "base", F.array_join("seq_ids", ",").alias("seq_ids"))
+
+
+_NO_GAPS = ScoringScheme(2, -1, -100, -127)
+_EQUAL = f"""x AS (SELECT item_id, {oracle.DNA} AS s FROM benchmark), q AS (SELECT item_id // 5 AS set_id, (item_id % 5)::INT AS seq_idx, s[1:60] AS s FROM x WHERE length(s) >= 60)"""
+
+
+def _equal_sets(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The first 60 nucleotides of five benchmark texts each, with gaps so dear that none is made."""
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.left(hof.dna(F.col("text")), F.lit(60)).alias("sequence")).where(F.char_length("sequence") == 60)
+    d = d.select(F.expr("item_id div 5").cast("bigint").alias("set_id"), (F.col("item_id") % 5).cast("int").alias("seq_idx"), "sequence")
+    return multiple.progressive(d, scheme=_NO_GAPS, fields=fields)
+
+
+@_query(f"""WITH RECURSIVE {_EQUAL},
+c AS (SELECT set_id, seq_idx, j::INT AS j, s[j] AS now, s[j - 1] AS was FROM q, (SELECT unnest(generate_series(1, 60)) AS j)),
+e AS (SELECT DISTINCT t.set_id, t.seq_idx, t.j, p.was, p.now, CASE WHEN p.now = t.now THEN 2 ELSE -1 END AS gain FROM c t JOIN c p ON p.set_id = t.set_id AND p.j = t.j AND p.seq_idx < t.seq_idx),
+best AS (SELECT set_id, seq_idx, j, now, max(gain)::BIGINT AS score FROM e WHERE j = 1 GROUP BY ALL
+  UNION ALL SELECT e.set_id, e.seq_idx, e.j, e.now, max(best.score + e.gain)::BIGINT FROM best JOIN e ON e.set_id = best.set_id AND e.seq_idx = best.seq_idx AND e.j = best.j + 1 AND e.was = best.now GROUP BY ALL),
+ranked AS (SELECT set_id, seq_idx, row_number() OVER (PARTITION BY set_id ORDER BY seq_idx) - 1 AS round FROM q),
+nodes AS (SELECT q.set_id, q.seq_idx, (SELECT count(*) FROM (SELECT DISTINCT c.j, c.now FROM c WHERE c.set_id = q.set_id AND c.seq_idx < q.seq_idx))::INT AS nodes_before FROM q)
+SELECT set_id, round::INT AS round, nodes_before, max(score) AS end_score FROM best JOIN ranked USING (set_id, seq_idx) JOIN nodes USING (set_id, seq_idx) WHERE j = 60 GROUP BY ALL""")
+def poa_rounds_without_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no gap is made, a sequence's score is that of the best way through the columns along edges of those before it."""
+    return multiple.rounds(_equal_sets(spark, sf_dir, "rounds")).select("set_id", "round", "nodes_before", "end_score")
+
+
+@_query(f"WITH {_EQUAL} SELECT set_id, (row_number() OVER (PARTITION BY set_id ORDER BY seq_idx) - 1)::INT AS seq_idx, s AS row FROM q")
+def msa_rows_without_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiple.msa_rows(_equal_sets(spark, sf_dir, "rows")).select("set_id", "seq_idx", "row")
 
 
 @_query(f"SELECT set_id, s AS name, s AS sequence FROM ({_BRANDS})")

@@ -63,3 +63,45 @@ walk AS (
 done AS (SELECT k1, k2, swapped, p[1:j] || repeat('-', i) || x AS px, repeat('-', j) || q[1:i] || y AS qx,
   repeat(CASE WHEN swapped THEN 'I' ELSE 'D' END, j) || repeat(CASE WHEN swapped THEN 'D' ELSE 'I' END, i) || ops AS ops, global_score FROM walk WHERE i = 0 OR j = 0),
 traced AS (SELECT k1, k2, swapped, CASE WHEN swapped THEN qx ELSE px END AS row_a, CASE WHEN swapped THEN px ELSE qx END AS row_b, ops, global_score FROM done)"""
+
+
+def pair_msa(pairs: str, scheme: ScoringScheme = DEFAULT) -> str:
+    """CTEs ending in `msa` (k1, k2, row_a, row_b) and `consensus` (k1, k2, consensus) of sets of two sequences, a then b.
+
+    The graph is a's chain (rows), b is the query (columns). Columns where both stand come in order. What stands in one
+    sequence alone between two of them is a branch, and the two branches come one after the other: a's first, but behind a
+    pair of different symbols that of the symbol which completed their ring, which is b's, and then each in turn. Of two
+    branches between equal symbols the consensus takes the longer, of equal ones b's, and at the end the one that comes first.
+    """
+    o = scheme.gap_open
+    text = trace(pairs, scheme)
+    turned = "turned AS (SELECT k1, k2, false AS swapped, b AS p, a AS q FROM pairs)"
+    i, j = text.index("turned AS ("), text.index("dp AS (")
+    text = text[:i] + turned + ",\n" + text[j:]
+    i, j = text.index("walk AS ("), text.index("done AS (")
+    move = f"(CASE WHEN forced > 0 THEN forced WHEN hs[i + 1][j + 1] = hs[i][j] + (CASE WHEN p[j] = q[i] THEN {scheme.match} ELSE {scheme.mismatch} END) THEN 3 WHEN hs[i + 1][j + 1] = es[i][j] THEN 2 ELSE 1 END)"
+    return text[:i] + f"""walk AS (
+  SELECT k1, k2, p, q, hs, fs, es, n::BIGINT AS i, m::BIGINT AS j, 0 AS forced, '' AS ops FROM dp WHERE i = n
+  UNION ALL
+  SELECT k1, k2, p, q, hs, fs, es, CASE WHEN v = 1 THEN i ELSE i - 1 END, CASE WHEN v = 2 THEN j ELSE j - 1 END,
+    CASE WHEN v = 1 AND j > 1 AND fs[i][j - 1] >= hs[i + 1][j] + {o} THEN 1 WHEN v = 2 AND i > 1 AND es[i - 1][j] >= hs[i][j + 1] + {o} THEN 2 ELSE 0 END,
+    CASE WHEN v = 3 THEN (CASE WHEN p[j] = q[i] THEN '=' ELSE 'X' END) WHEN v = 1 THEN 'I' ELSE 'D' END || ops
+  FROM (SELECT *, {move} AS v FROM walk WHERE i > 0 AND j > 0)),
+fused AS (SELECT k1, k2, q AS a, p AS b, repeat('D', i) || repeat('I', j) || ops AS ops FROM walk WHERE i = 0 OR j = 0),
+steps AS (SELECT k1, k2, a, b, t, ops[t] AS op FROM (SELECT *, unnest(generate_series(1, length(ops))) AS t FROM fused)),
+placed AS (SELECT *, count(*) FILTER (op IN ('=', 'X')) OVER w AS k, max(CASE WHEN op = '=' THEN t END) OVER w AS anchor,
+  count(*) FILTER (op = '=') OVER w AS seg, count(*) FILTER (op <> 'I') OVER w AS ia, count(*) FILTER (op <> 'D') OVER w AS ib FROM steps
+  WINDOW w AS (PARTITION BY k1, k2 ORDER BY t ROWS UNBOUNDED PRECEDING)),
+begun AS (SELECT k1, k2, bool_or(op = 'I' AND k = 0) AS b_first FROM placed GROUP BY ALL),
+turns AS (SELECT placed.*, CASE WHEN op NOT IN ('=', 'X') THEN NULL WHEN op = '=' THEN 'D'
+  WHEN ((count(*) FILTER (op = 'X') OVER (PARTITION BY k1, k2, seg ORDER BY t ROWS UNBOUNDED PRECEDING)) % 2 = 1) = (anchor IS NOT NULL OR b_first) THEN 'I' ELSE 'D' END AS lead
+  FROM placed JOIN begun USING (k1, k2)),
+led AS (SELECT *, coalesce(max(lead) OVER (PARTITION BY k1, k2, k), 'D') AS ahead FROM turns),
+ordered AS (SELECT *, CASE WHEN op IN ('=', 'X') THEN 0 WHEN op = ahead THEN 1 ELSE 2 END AS phase FROM led),
+msa AS (SELECT k1, k2, string_agg(CASE WHEN op = 'I' THEN '-' ELSE a[ia] END, '' ORDER BY k, phase, t) AS row_a,
+  string_agg(CASE WHEN op = 'D' THEN '-' ELSE b[ib] END, '' ORDER BY k, phase, t) AS row_b FROM ordered GROUP BY k1, k2),
+branches AS (SELECT k1, k2, seg, max(CASE WHEN op = '=' THEN a[ia] END) AS symbol,
+  coalesce(string_agg(CASE WHEN op IN ('X', 'D') THEN a[ia] END, '' ORDER BY t), '') AS x, coalesce(string_agg(CASE WHEN op IN ('X', 'I') THEN b[ib] END, '' ORDER BY t), '') AS y,
+  arg_max(ahead, t) AS ahead, arg_max(op, t) AS final, seg = max(seg) OVER (PARTITION BY k1, k2) AS at_end FROM led GROUP BY k1, k2, seg),
+consensus AS (SELECT k1, k2, string_agg(coalesce(symbol, '') || CASE WHEN length(x) > length(y) THEN x WHEN length(x) < length(y) THEN y
+  WHEN at_end AND (final = 'X' OR ahead = 'D') THEN x ELSE y END, '' ORDER BY seg) AS consensus FROM branches GROUP BY k1, k2)"""

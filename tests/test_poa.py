@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import pytest
 
 from strandframe.functions.kernels import score_batch
 from strandframe.functions.poa import Graph, align_to_graph, grow, heaviest_path, progressive
+from strandframe.plans import oracle
 from strandframe.scheme import DEFAULT, ScoringScheme
 
 from .test_kernels import examples
@@ -150,3 +152,19 @@ def test_documented_set():
     assert max(r.scores[0].values()) == 12912 and len(r.consensus) == 5987
     assert [x.replace("-", "") for x in r.rows] == seqs
     assert sum(w for b in g.before for w in b.values()) == 24995
+
+
+@pytest.mark.parametrize("scheme", [DEFAULT, ScoringScheme(2, -1, -2, -1), ScoringScheme(1, -1, -1, 0)])
+def test_sets_of_two_match_sql(scheme):
+    """Rows and consensus by an independent statement of the rules in SQL, over pairs full of ties."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+    pairs = [(i, 0, word(), word()) for i in range(120)]
+    con = duckdb.connect()
+    con.execute("create table pairs_(k1 bigint, k2 bigint, a varchar, b varchar)")
+    con.executemany("insert into pairs_ values (?, ?, ?, ?)", pairs)
+    sql = f"WITH RECURSIVE {oracle.pair_msa('SELECT * FROM pairs_', scheme)} SELECT k1, row_a, row_b, consensus FROM msa JOIN consensus USING (k1, k2)"
+    got = {k: tuple(v) for k, *v in con.execute(sql).fetchall()}
+    for i, _, a, b in pairs:
+        r = progressive([a, b], scheme)
+        assert got[i] == (*r.rows, r.consensus), (a, b)
