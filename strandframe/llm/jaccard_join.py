@@ -31,7 +31,7 @@ PERCENT = 80
 #: Two sets share a FURTHER-th of the smaller one's size among their first elements, instead of one: fewer sets pass.
 FURTHER = 8
 #: Elements and sets of a block at most; a tree holds two blocks at most.
-BLOCK, SETS = 100_000, 300
+BLOCK, SETS = 100_000, 64
 #: An element is common if so many of the entries that a task looks through at a time, HOT_ENTRIES, have it; so many of the
 #: most common ones are known to all tasks. Others may take part as rare ones: results don't hang on which these are.
 HOT, HOT_ENTRIES, HOT_MOST = 8, 1 << 20, 200_000

@@ -99,7 +99,7 @@ def test_known_components_are_not_linked_again():
     assert len(LinkTrie(sets, known=[b"a", b"a", b"c", b"b", b"b"]).links()) == 1
 
 
-@pytest.mark.parametrize(("seed", "block", "most_sets"), [(1, 100_000, 300), (2, 300, 300), (4, 60, 300), (1, 100_000, 3)])
+@pytest.mark.parametrize(("seed", "block", "most_sets"), [(1, 100_000, 300), (4, 60, 300), (2, 100_000, 3)])
 def test_components_match_brute_force(spark, seed, block, most_sets):
     rows = [(i * 3 if i % 40 else None, t) for i, t in enumerate(corpus(seed))] + [(2000, "same words again here now ok"), (2000, "same words again here now ok")]
     df = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, n int, key string").repartition(6)
@@ -128,7 +128,7 @@ def common_passages(seed, n=240):
     return out
 
 
-@pytest.mark.parametrize(("block", "most_sets"), [(100_000, 300), (100_000, 4), (400, 300)])
+@pytest.mark.parametrize(("block", "most_sets"), [(100_000, 300), (400, 4)])
 def test_an_element_that_all_sets_have(spark, block, most_sets):
     rows = list(enumerate(common_passages(8)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
