@@ -24,11 +24,13 @@ from tokenizers import Tokenizer
 from .words import SPACE, WHITE, Batch, Kinds, WordTable
 
 #: Slots of a worker's table of words, as a power of two; a slot takes 24 bytes, and a word's ids a few more.
-BITS = 21
+BITS = 20
 #: States of an automaton after which it is compiled anew, and pairs of tokens that it remembers.
-STATES, PAIRS = 150_000, 200_000
+STATES, PAIRS = 100_000, 100_000
 #: A final symbol is the byte and this.
 FINAL = 256
+#: Behind all merges.
+NONE = 1 << 60
 _COUNT, _TOKEN = 12, 20  # bits of a state's entry: node of the vocabulary's trie, token before, tokens up to there
 
 
@@ -55,6 +57,13 @@ def byte_chars() -> dict[str, str]:
     return {chr(b): chr(b) for b in shown} | {chr(256 + i): chr(b) for i, b in enumerate(hidden)}
 
 
+def special_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of a vocabulary's file; its model, behind them, is not parsed."""
+    at = vocabulary.index('"added_tokens"')
+    found, _ = json.JSONDecoder().raw_decode(vocabulary, vocabulary.index("[", at))
+    return {t["content"]: t["id"] for t in found}
+
+
 class Automaton:
     """Last-token states of a byte-level vocabulary. Symbols are bytes, and with FINAL added a word's last byte where the
     vocabulary marks the ends of words.
@@ -64,7 +73,7 @@ class Automaton:
     """
 
     def __init__(self, vocabulary: str):
-        model = json.loads(vocabulary)["model"]
+        model = json.loads(vocabulary)["model"]  # about 30 MB, which go when the tables are made
         chars, end = byte_chars(), model.get("end_of_word_suffix") or ""
         self.end, ids = bool(end), model["vocab"]
         self.symbols: dict[int, list[int]] = {}
@@ -79,10 +88,10 @@ class Automaton:
                 if len(own) == 1:
                     self.one[own[0]] = i
         self.sizes = {i: len(s) for i, s in self.symbols.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # two tokens in one number -> rank and new token in one number
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a] << _TOKEN | ids[b]] = rank << _TOKEN | ids[a + b]
         if max(self.sizes.values()) >= 1 << _COUNT - 1 or max(ids.values()) + 2 >= 1 << _TOKEN:
             raise ValueError("the vocabulary is too large for the states")
         self.child: dict[int, int] = {}
@@ -108,12 +117,11 @@ class Automaton:
     def merge(self, symbols: list[int]) -> list[int]:
         """The merges of least rank first, the leftmost of equals."""
         while len(symbols) > 1:
-            ranks = [self.merges.get(p, (1 << 60, 0)) for p in zip(symbols, symbols[1:], strict=False)]
-            best, new = min(ranks)
-            if best == 1 << 60:
+            ranks = [self.merges.get(a << _TOKEN | b, NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+            if (best := min(ranks)) == NONE:
                 break
-            i = ranks.index((best, new))
-            symbols = [*symbols[:i], new, *symbols[i + 2 :]]
+            i = ranks.index(best)
+            symbols = [*symbols[:i], best & (1 << _TOKEN) - 1, *symbols[i + 2 :]]
         return symbols
 
     def stays(self, before: int, token: int) -> bool:
@@ -204,7 +212,7 @@ class WordCodec:
     def __init__(self, vocabulary: str, bits: int = BITS):
         self.library = Tokenizer.from_str(vocabulary)
         self.bpe = PrefixBpe(vocabulary)
-        self.special = {t["content"]: t["id"] for t in json.loads(vocabulary)["added_tokens"]}
+        self.special = special_tokens(vocabulary)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         kind = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.shown = pa.array([self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size(True))])
@@ -262,7 +270,7 @@ class ByteCodec:
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
+        self.special = list(special_tokens(vocabulary))
         kind = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.kinds, self.table = Kinds(), WordTable(kind, bits)
         shown = np.empty(256, "<u2")

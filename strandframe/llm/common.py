@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -25,7 +26,7 @@ SALTS = 64
 
 #: Rows and bytes of an Arrow batch at most, and characters of the texts that a Python function holds in pieces at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 #: Settings of a worker's allocators: one arena, and what is freed goes back to the system.
 FREEING = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
@@ -64,6 +65,8 @@ def forget() -> None:
     if _KEPT:
         _KEPT.clear()
         gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's: what is free goes back to the system
+            trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -13,7 +13,6 @@ finds the nearest constant one before each chunk, and the heads are read from th
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Automaton
+from .bpe import Automaton, special_tokens
 from .common import documents, expose, groups, kept
 from .words import Batch, Kinds
 
@@ -167,9 +166,8 @@ class Counts:
     """Counts the tokens of texts; one for each worker, with its transducer."""
 
     def __init__(self, vocabulary: str):
-        special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
-        self.special = special
-        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))).split
+        self.special = list(special_tokens(vocabulary))
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))).split
         self.transducer, self.kinds = Transducer(vocabulary), Kinds()
 
     def run(self, texts: list[str]) -> list[int]:
