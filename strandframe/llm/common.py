@@ -61,12 +61,12 @@ def kept(key: object, make: Callable[[], object]) -> object:
 
 
 def forget() -> None:
-    """Drop what the worker keeps: called by functions that need none of it, which may run in the same worker."""
+    """Drop what the worker keeps, and give back what is free: called first by functions that need none of it, which may run in the same worker."""
     if _KEPT:
         _KEPT.clear()
         gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's: what is free goes back to the system
-            trim(0)
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the system's C library
+        trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
