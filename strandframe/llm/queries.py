@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, mixing, quality_ranking, quality_rules, token_counts, token_files, toxicity, word_codec
+from . import exact_dedup, jaccard_join, language_id, lexical_search, mixing, quality_ranking, quality_rules, token_counts, token_files, toxicity, url_filter, whitening, word_codec
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_lexical_search": lexical_search.query,
+    "op12_url_filter": url_filter.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op12_url_filter": url_filter.ORACLE,
 }
