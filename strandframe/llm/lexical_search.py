@@ -124,8 +124,18 @@ class Index:
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of all rows of docs: one pass counts terms, one cuts segments. Null and empty texts have no terms and are in none."""
     expose(docs.sparkSession)
-    count = F.regexp_count(F.col(text_col), F.lit(TERM)).cast("long")
-    n_docs, n_terms = docs.select(count.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        n_docs = n_terms = 0
+        for b in batches:
+            for t in b.column(0):
+                n = sum(map(len, pieces(t.as_py() or b"")))
+                n_docs, n_terms = n_docs + (n > 0), n_terms + n
+        yield pa.RecordBatch.from_arrays([pa.array([n_docs]), pa.array([n_terms])], names=["docs", "terms"])
+
+    n_docs, n_terms = texts.select("text").mapInArrow(counted, "docs long, terms long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "terms"))).first()
     kind = docs.schema[id_col].dataType
     schema = T._parse_datatype_string(LOCAL.format(id=kind.simpleString()))
     arrow = [pa.int64(), None, *[pa.binary()] * 11]
@@ -155,7 +165,6 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
         if open_.ids:
             yield row()
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return Index(stored(texts.mapInArrow(run, schema)), int(n_docs), int(n_terms))
 
 
