@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters between words: space, and tab to carriage return.
@@ -185,28 +185,24 @@ def marked(df: DataFrame, key: Column, of: tuple[DataFrame, int], name: str) ->
     return d.join(F.broadcast(b), F.col("_bucket") == F.col("_b"), "left").select(*df.columns, is_set.alias(name))
 
 
-def bounded_rows(rows: DataFrame, most: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`most` rows at most, and no more than the first of them beyond `chars` characters of text, in the order of a hash of
-    the id, then the id and a hash of the text; rows that repeat both count once. Rows are taken or left whole.
-
-    What decides are `most` rows of a few numbers. rows is stored already and has no column of these names: _h, _t, _n.
+def bounded_rows(rows: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`most` rows at most, however long, in the order of a hash of the id, then the id and a hash of the text; rows that repeat
+    both count once. What decides are `most` rows of a few numbers. rows is stored already and has no column of these names: _h, _t.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = rows.withColumn("_h", F.xxhash64(id_col)).withColumn("_t", F.xxhash64(text)).withColumn("_n", F.char_length(text))
-    first = keyed.select("_h", F.col(id_col).alias("_i"), "_t", "_n").distinct().orderBy("_h", "_i", "_t").limit(most)
-    upto = F.sum("_n").over(Window.orderBy("_h", "_i", "_t").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = stored(first.withColumn("_upto", F.coalesce(upto, F.lit(0))).where(F.col("_upto") + F.col("_n") <= chars).select("_i", F.col("_t").alias("_u")))
+    keyed = rows.withColumn("_h", F.xxhash64(id_col)).withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    first = keyed.select("_h", F.col(id_col).alias("_i"), "_t").distinct().orderBy("_h", "_i", "_t").limit(most)
+    chosen = stored(first.select("_i", F.col("_t").alias("_u")))
     found = keyed.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")))
     return found.dropDuplicates([id_col, "_t"]).select(*rows.columns)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_of: Column, most: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and _label of at most `most` rows, and `chars` characters or so, of docs that have a label and for which fold_of holds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_of: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text and _label of at most `most` rows of docs that have a label and for which fold_of holds, however long their texts.
 
     Which rows is fixed by a hash of the id. Of several labels of one id the highest counts. The ids, `most` rows of two
-    numbers, are what is broadcast; a repeated id can't add rows beyond the bounds.
+    numbers, are what is broadcast; a repeated id can't add rows beyond the bound. It is empty only if no row of docs has a label.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & fold_of).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
-    ids = stored(ids.orderBy(F.xxhash64("_id"), "_id").limit(most))
+    ids = stored(ids.join(docs.select(F.col(id_col).alias("_own")).distinct(), F.col("_id") == F.col("_own"), "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(most))
     held = stored(docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select(id_col, text_col, "_label"))
-    return bounded_rows(held, most, chars, id_col, text_col)
+    return bounded_rows(held, most, id_col, text_col)

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_rows, documents, expose, fold, forget, groups, stored
 
-#: Labelled documents that are learnt from, at most, and characters of them together; every text is read whole.
-SAMPLE, SAMPLE_CHARS = 4_000, 24_000_000
+#: Labelled documents that are learnt from, at most; their texts may have any length.
+SAMPLE = 4_000
 #: Bytes of a window, bytes that are read before it, units of a direction, windows that are read in step.
 WINDOW, WARM, HIDDEN, LANES = 256, 32, 8, 2048
 STEPS, BATCH, LENGTH, RATE, SEED = 500, 192, 64, 0.02, 5
@@ -213,13 +213,13 @@ def train(places: list[bytes], labels: list[str], seed: int = SEED, steps: int =
     return net
 
 
-def learn(docs: DataFrame, held_in, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
-    """Train on rows of docs with a label and for which held_in (a Column) holds: `most` rows and about `chars` characters at
-    most, by a hash of the id. From anywhere in each of their texts PLACES runs of LENGTH bytes are drawn, where they are;
-    only these go to the driver."""
+def learn(docs: DataFrame, held_in, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Network:
+    """Train on rows of docs with a label and for which held_in (a Column) holds: `most` rows at most, by a hash of the id; rows
+    that repeat an id and a text count once, and repeated ids don't crowd out others. From anywhere in each of their texts
+    PLACES runs of LENGTH bytes are drawn, where they are; only these go to the driver. No labelled row: nothing is learnt."""
     d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & held_in).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("y"))
-    ids = stored(d.select(F.col("id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct())
-    rows = bounded_rows(stored(d.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")), most, chars, "id")
+    ids = stored(d.select(F.col("id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most))
+    rows = bounded_rows(stored(d.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")), most, "id")
     raw = F.col("text").cast("binary")
     at = lambda k: (F.pmod(F.xxhash64("id", k), F.greatest(F.octet_length("text") - LENGTH, F.lit(0)) + 1) + 1).cast("int")
     places = rows.select("y", F.transform(F.sequence(F.lit(1), F.lit(PLACES)), lambda k: F.substr(raw, at(k), F.lit(LENGTH))).alias("t")).collect()

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import documents, expose, fold, forget, labelled_sample
 
-#: Labelled documents that are learnt from, at most, and characters of them together; every document is scored.
-SAMPLE, SAMPLE_CHARS = 8_000, 24_000_000
+#: Labelled documents that are learnt from, at most, of any length; every document is scored.
+SAMPLE = 8_000
 #: Words whose weight a worker remembers.
 CACHE = 500_000
 #: Numbers that features are hashed to: the size of the model.
@@ -182,6 +182,6 @@ def sample_bags(rows: DataFrame, text_col: str = "text") -> tuple[list[tuple[np.
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), expose(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    rows = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, SAMPLE, SAMPLE_CHARS)
+    rows = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, SAMPLE)
     weights, bias = train(*sample_bags(rows))
     return toxicity(docs, weights, bias).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "offending")

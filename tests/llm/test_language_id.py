@@ -106,3 +106,15 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert identify(df, learn(df, F.lit(True))).first().lang_pred == UNKNOWN
     assert train([b"abc"], ["aa"]).predict(["abc", None]) == (["aa", UNKNOWN], [1.0, 0.0])
+
+
+def test_repeats_and_a_huge_text_shut_out_nothing(spark, tmp_path):
+    rng = random.Random(7)
+    langs = sorted(ALPHABETS)
+    rows = [(i, text(rng, langs[i % 3], 200), langs[i % 3]) for i in range(90)]
+    rows += [(1, rows[1][1], rows[1][2])] * 200 + [(500 + i, text(rng, langs[i], 300_000), langs[i]) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert learn(df.where("doc_id < 500"), F.lit(True), most=60).langs == langs
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    by = {r.doc_id: r for r in query(spark, str(tmp_path)).collect()}
+    assert all(by[i].lang_pred == y for i, _, y in rows if i < 500) and all(by[500 + i].lang_pred == langs[i] for i in range(2))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandframe.llm import quality_ranking, toxicity
@@ -95,14 +96,48 @@ def test_toxicity_query(spark):
     assert (a[:, None] > b).mean() > 0.8
 
 
-def test_sample_is_bounded_by_rows_and_characters(spark):
+def test_sample_is_bounded_by_rows(spark):
     rows = [(1, "copy", 0)] * 500 + [(1, f"other {i}", 0) for i in range(500)] + [(i, "x" * 100, 0) for i in range(2, 60)] + [(None, "null", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _h int")
     labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
-    found = labelled_sample(df, labels, "quality", F.lit(True), 40, 10**6)
+    found = labelled_sample(df, labels, "quality", F.lit(True), 40)
     assert found.count() == 40 and found.columns == ["doc_id", "text", "_label"]  # an id's rows don't go beyond the bound
-    few = labelled_sample(df.where("doc_id > 1"), labels, "quality", F.lit(True), 50, 1000).collect()
-    assert len(few) == 10 and {tuple(r) for r in few} == {tuple(r) for r in labelled_sample(df.where("doc_id > 1").repartition(5), labels, "quality", F.lit(True), 50, 1000).collect()}
+    few = {tuple(r) for r in labelled_sample(df.where("doc_id > 1"), labels, "quality", F.lit(True), 10).collect()}
+    assert len(few) == 10 and few == {tuple(r) for r in labelled_sample(df.where("doc_id > 1").repartition(5), labels, "quality", F.lit(True), 10).collect()}
+    far = spark.createDataFrame([(i, 1) for i in range(5000, 9000)] + [(7, 1)], "doc_id long, quality int")  # labels of documents that aren't there take no place
+    assert [r.doc_id for r in labelled_sample(df, far, "quality", F.lit(True), 10).collect()] == [7]
+
+
+@pytest.mark.parametrize("huge", range(4))
+def test_a_huge_text_shuts_out_nothing(spark, huge):
+    """Whichever row comes first by its hash may be very long: all others are still learnt from."""
+    df = spark.createDataFrame([(i, "x" * (2_000_000 if i == huge else 10)) for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+    assert labelled_sample(df, labels, "quality", F.lit(True), 4).count() == 4
+
+
+def _written(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_queries_learn_beside_a_huge_text_and_repeats(spark, tmp_path):
+    """Through op3 and op9: one labelled text of 400,000 characters, and a thousand repeats of another row."""
+    rng = random.Random(8)
+    docs = [(i, t, "en", "s", len(t)) for i, t, _ in toxic_rows(rng, 400)]
+    labels = [(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(400)]
+    docs = [(i, t if i % 3 else "##%% " * 40, *rest) if i % 5 else (i, t, *rest) for i, t, *rest in docs]
+    for first in (401, 402, 403):
+        docs.append((first, words(rng, 70_000), "en", "s", 0))
+        labels.append((first, 1, 0))
+    docs += [(1, docs[1][1], "en", "s", 0)] * 1000
+    folder = _written(spark, tmp_path, docs, labels)
+    scored = {r.doc_id: r.score for r in quality_ranking.query(spark, folder).collect()}
+    assert len(set(scored.values())) > 100
+    assert np.mean([scored[i] for i in range(400) if i % 5 and i % 3]) > np.mean([scored[i] for i in range(400) if i % 5 and i % 3 == 0]) + 0.2
+    found = {r.doc_id: r.predicted for r in toxicity.query(spark, folder).collect()}
+    assert np.mean([found[i] for i in range(0, 400, 5)]) > 0.8 and not any(found[i] for i in range(400) if i % 5)
 
 
 def test_ranking_gradient_matches_differences():
@@ -158,7 +193,7 @@ def test_ranking_separates_good_from_bad(spark):
         rows.append((i, t, 0))
     labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i in range(600)] + [(5, 1), (7, None), (None, 1)], "doc_id long, quality int")
     df = spark.createDataFrame(rows + EDGES, SCHEMA)
-    sample = labelled_sample(df, labels, "quality", F.col("doc_id") >= 0, 500, 10**7)
+    sample = labelled_sample(df, labels, "quality", F.col("doc_id") >= 0, 500)
     assert sample.count() == 500
     x, good = quality_ranking.sample_features(sample)
     model = quality_ranking.train(x, good)
