@@ -53,9 +53,14 @@ def all_pairs(df: DataFrame, key: str, rows: int = PAIR_ROWS) -> DataFrame:
     return met.select(F.when(large, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(large, F.col("y")).otherwise(F.col("x")).alias("y"))
 
 
-def align_pairs(df: DataFrame, a: str = "a", b: str = "b", scheme: ScoringScheme = DEFAULT) -> DataFrame:
-    """df with global_score, max_cell_score, swapped, row_a, row_b and ops; rows are given for a and b as they came."""
-    d = df.withColumn("_s", arrow.aligned(F.col(a), F.col(b), scheme))
+def align_pairs(df: DataFrame, a: str = "a", b: str = "b", scheme: ScoringScheme = DEFAULT, method: str = "arrow") -> DataFrame:
+    """df with global_score, max_cell_score, swapped, row_a, row_b and ops; rows are given for a and b as they came.
+
+    method: arrow (any length) or catalyst (short strings, no Python); both find the same alignment.
+    """
+    if method not in ("arrow", "catalyst"):
+        raise ValueError("method must be arrow or catalyst")
+    d = df.withColumn("_s", (arrow if method == "arrow" else hof).aligned(F.col(a), F.col(b), scheme))
     return d.withColumns({k: F.col(f"_s.{k}") for k in ("global_score", "max_cell_score", "swapped", "row_a", "row_b", "ops")}).drop("_s")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hof
 from ..functions import sql as sql_functions
-from ..operators import multiple, pairwise, wavefront
+from ..operators import multiple, pairwise, qgram, wavefront
 from ..scheme import DEFAULT, DEFAULT_BLOCK, ScoringScheme
 from ..sources import datasource, files
 from ..streaming import incremental as stream
@@ -111,6 +111,23 @@ def nw_score_at_least(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.score_pairs(part_pairs(spark, sf_dir), at_least=0).select("k1", "k2", "global_score")
 
 
+@_query(f"WITH RECURSIVE {oracle.dp(oracle.PARTS)} SELECT k1, k2, global_score, max_cell_score FROM scored WHERE global_score >= 8")
+def score_join_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names that score 8 with each other, by their q-grams."""
+    p = table(spark, sf_dir, "part").select("p_name").distinct()
+    return qgram.score_join(p, "p_name", "p_name", 8).select(F.col("x.p_name").alias("k1"), F.col("y.p_name").alias("k2"), "global_score", "max_cell_score")
+
+
+_SUPPLIERS = "SELECT x.s_name AS k1, y.s_name AS k2, x.s_name AS a, y.s_name AS b FROM supplier x JOIN supplier y ON x.s_name < y.s_name"
+
+
+@_query(f"WITH RECURSIVE {oracle.dp(_SUPPLIERS)} {_SCORED} WHERE global_score >= 29")
+def score_join_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of suppliers that differ in one symbol; they share most of their q-grams, so that rare ones decide."""
+    p = table(spark, sf_dir, "supplier").select("s_name")
+    return qgram.score_join(p, "s_name", "s_name", 29, q=4).select(F.col("x.s_name").alias("k1"), F.col("y.s_name").alias("k2"), "global_score")
+
+
 @_query(f"WITH RECURSIVE {oracle.dp(oracle.NAMES)} SELECT k1, k2, global_score, row_number() OVER (PARTITION BY k1 ORDER BY global_score DESC, k2)::BIGINT AS rank FROM scored QUALIFY rank <= 2")
 def best_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.best_matches(pairwise.score_pairs(name_pairs(spark, sf_dir), method="catalyst"), "k1", 2, ["k2"]).select("k1", "k2", "global_score", "rank")
@@ -180,6 +197,17 @@ def nw_traceback_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.align_pairs(part_pairs(spark, sf_dir), scheme=LINEAR).select("k1", "k2", "row_a", "row_b")
 
 
+@_query(f"WITH RECURSIVE {oracle.trace(oracle.NAMES)} SELECT k1, k2, swapped, row_a, row_b, ops, global_score FROM traced")
+def traceback_in_catalyst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, rows and operations without a Python process."""
+    return pairwise.align_pairs(name_pairs(spark, sf_dir), method="catalyst").select("k1", "k2", "swapped", "row_a", "row_b", "ops", "global_score")
+
+
+@_query(f"WITH RECURSIVE {oracle.trace(oracle.PARTS, LINEAR)} SELECT k1, k2, row_a, row_b, global_score FROM traced")
+def traceback_in_catalyst_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.align_pairs(part_pairs(spark, sf_dir), scheme=LINEAR, method="catalyst").select("k1", "k2", "row_a", "row_b", "global_score")
+
+
 @_query(f"SELECT k1, k2, a, b FROM ({oracle.NAMES})")
 def traceback_degap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pairwise.align_pairs(name_pairs(spark, sf_dir))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from strandframe.functions import arrow, hof
-from strandframe.operators import multiple, pairwise, wavefront
+from strandframe.operators import multiple, pairwise, qgram, wavefront
 from strandframe.plans import catalog
 from strandframe.scheme import DEFAULT, ScoringScheme
 from strandframe.streaming import incremental as stream
@@ -30,6 +30,19 @@ def test_catalyst_and_arrow_scores_agree(spark, scheme):
             assert tuple(r.x) == tuple(r.y) == cell_by_cell(r.a, r.b, scheme)
 
 
+@pytest.mark.parametrize("scheme", SCHEMES)
+def test_catalyst_and_arrow_alignments_agree(spark, scheme):
+    p = [(i, a, b) for i, (a, b) in enumerate(pairs(5, 70))] + [(900, None, "a"), (901, "a", None), (902, "", ""), (903, "", "ab"), (904, "é日", "日"), (905, "AAAA", "AAAAAAAA")]
+    df = spark.createDataFrame(p, "i int, a string, b string").repartition(8)
+    fast = pairwise.align_pairs(df, scheme=scheme, method="catalyst")
+    got, want = ({r.i: tuple(r) for r in d.collect()} for d in (fast, pairwise.align_pairs(df, scheme=scheme)))
+    assert got == want
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    with pytest.raises(ValueError):
+        pairwise.align_pairs(df, method="other")
+
+
 def test_score_pairs_options(spark):
     df = spark.createDataFrame([("abcd", "abcd"), ("abcd", "zzzzzzzzzzzz"), ("a", "b")], "a string, b string")
     assert [r.global_score for r in pairwise.score_pairs(df, at_least=3).collect()] == [8]
@@ -44,6 +57,36 @@ def test_score_pairs_options(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize(("scheme", "q", "bounds"), [(DEFAULT, 2, (9, 22)), (ScoringScheme(2, -1, -1, 0), 3, (25,)), (ScoringScheme(-1, -3, -2, -1), 2, (-9,))])
+def test_score_join_finds_what_all_pairs_find(spark, scheme, q, bounds):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("ACGT" if i % 2 else "abcdefghij") for _ in range(rng.randint(5, 30))) for i in range(14)]
+    rows = []
+    for i in range(70):
+        s = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(s) + 1)
+            s[k : k + rng.choice((0, 1, 1, 3))] = rng.choice(("", "x", "ACG"))
+        rows.append((i, "".join(s), i))
+    rows += [(900, None, 0), (901, "", 0), (902, "A", 0), (None, "ACGT", 0)]
+    df = spark.createDataFrame(rows, "id int, s string, k1 int").repartition(4).cache()
+    pairs = pairwise.all_pairs(df.where("s is not null and id is not null"), "id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.s").alias("p"), F.col("y.s").alias("q"))
+    every = [(r.a, r.b, r.global_score) for r in pairwise.score_pairs(pairs, "p", "q", scheme).collect()]
+    for at_least in bounds:
+        found = qgram.score_join(df, "id", "s", at_least, scheme, q, block=7).select("x.id", F.col("y.id").alias("b"), "global_score").collect()
+        assert sorted(map(tuple, found)) == sorted(p for p in every if p[2] >= at_least)
+    df.unpersist()
+
+
+def test_score_join_scores_few_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnop") for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, s[:20] + "x" + s[22:]) for i, s in rows[:40]]
+    df = spark.createDataFrame(rows, "id int, s string")
+    met = qgram.candidates(df, "id", "s", 90)
+    assert met.count() == qgram.score_join(df, "id", "s", 90).count() == 40  # of 57,630 pairs
+
+
 def test_msa_takes_its_order_from_a_column(spark):
     rows = [(1, 2, "ACGT"), (1, 0, "ACT"), (1, 1, None), (2, 0, "A"), (3, 0, "")]
     sets = multiple.progressive(spark.createDataFrame(rows, "set_id int, seq_idx int, sequence string"))
