@@ -237,23 +237,22 @@ def nw_dna_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.align_pairs(dna_pairs(spark, sf_dir)).select("item_id", "global_score", "max_cell_score", "swapped", "row_a", "row_b", "ops")
 
 
-_HEADS = f"x AS (SELECT item_id, {oracle.DNA}[1:40] AS s FROM benchmark), near AS (SELECT x.item_id, x.s AS a, y.s AS b FROM x JOIN x y ON y.item_id = x.item_id + 1)"
-_HEAD_PAIRS = "SELECT item_id::BIGINT AS k1, 0::BIGINT AS k2, a, b FROM near"
+_DNA_NAMES = f"SELECT k1, k2, {oracle.DNA.replace('text', 'a')} AS a, {oracle.DNA.replace('text', 'b')} AS b FROM ({oracle.NAMES})"
 
 
-def dna_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 nucleotides of the pairs, short enough for SQL to score; the whole ones are nw_dna_score's."""
-    return dna_pairs(spark, sf_dir).select("item_id", F.left("a", F.lit(40)).alias("a"), F.left("b", F.lit(40)).alias("b"))
+def dna_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole names as nucleotides, short enough for SQL to score; texts are nw_dna_score's."""
+    return name_pairs(spark, sf_dir).withColumns({c: hof.dna(F.col(c)) for c in "ab"})
 
 
-@_query(f"WITH RECURSIVE {_HEADS}, {oracle.dp(_HEAD_PAIRS)} SELECT k1 AS item_id, global_score, max_cell_score FROM scored")
-def nw_dna_head_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.score_pairs(dna_heads(spark, sf_dir)).select(F.col("item_id").cast("bigint").alias("item_id"), "global_score", "max_cell_score")
+@_query(f"WITH RECURSIVE {oracle.dp(_DNA_NAMES)} SELECT k1, k2, global_score, max_cell_score FROM scored")
+def nw_dna_name_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.score_pairs(dna_name_pairs(spark, sf_dir)).select("k1", "k2", "global_score", "max_cell_score")
 
 
-@_query(f"WITH RECURSIVE {_HEADS}, {oracle.trace(_HEAD_PAIRS)} SELECT k1 AS item_id, swapped, row_a, row_b, ops FROM traced")
-def nw_dna_head_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.align_pairs(dna_heads(spark, sf_dir)).select(F.col("item_id").cast("bigint").alias("item_id"), "swapped", "row_a", "row_b", "ops")
+@_query(f"WITH RECURSIVE {oracle.trace(_DNA_NAMES)} SELECT k1, k2, swapped, row_a, row_b, ops FROM traced")
+def nw_dna_name_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.align_pairs(dna_name_pairs(spark, sf_dir)).select("k1", "k2", "swapped", "row_a", "row_b", "ops")
 
 
 @_query(f"WITH RECURSIVE {oracle.dp(oracle.NAMES)} SELECT k1, k2, global_score, max_cell_score FROM scored")
@@ -473,24 +472,23 @@ def poa_nodes_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NO_GAPS = ScoringScheme(2, -1, -100, -127)
-_EQUAL = f"""x AS (SELECT item_id, {oracle.DNA} AS s FROM benchmark), q AS (SELECT item_id // 5 AS set_id, (item_id % 5)::INT AS seq_idx, s[1:60] AS s FROM x WHERE length(s) >= 60)"""
+_EQUAL = "q AS (SELECT s_nationkey::BIGINT AS set_id, s_suppkey AS seq_idx, s_name AS s FROM supplier)"
 
 
 def _equal_sets(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    """The first 60 nucleotides of five benchmark texts each, with gaps so dear that none is made."""
-    d = table(spark, sf_dir, "benchmark").select("item_id", F.left(hof.dna(F.col("text")), F.lit(60)).alias("sequence")).where(F.char_length("sequence") == 60)
-    d = d.select(F.expr("item_id div 5").cast("bigint").alias("set_id"), (F.col("item_id") % 5).cast("int").alias("seq_idx"), "sequence")
+    """The suppliers of each nation: whole names, all of 18 symbols, with gaps so dear that none is made."""
+    d = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("set_id"), F.col("s_suppkey").alias("seq_idx"), F.col("s_name").alias("sequence"))
     return multiple.progressive(d, scheme=_NO_GAPS, fields=fields)
 
 
 @_query(f"""WITH RECURSIVE {_EQUAL},
-c AS (SELECT set_id, seq_idx, j::INT AS j, s[j] AS now, s[j - 1] AS was FROM q, (SELECT unnest(generate_series(1, 60)) AS j)),
+c AS (SELECT set_id, seq_idx, j::INT AS j, s[j] AS now, s[j - 1] AS was FROM q, (SELECT unnest(generate_series(1, 18)) AS j)),
 e AS (SELECT DISTINCT t.set_id, t.seq_idx, t.j, p.was, p.now, CASE WHEN p.now = t.now THEN 2 ELSE -1 END AS gain FROM c t JOIN c p ON p.set_id = t.set_id AND p.j = t.j AND p.seq_idx < t.seq_idx),
 best AS (SELECT set_id, seq_idx, j, now, max(gain)::BIGINT AS score FROM e WHERE j = 1 GROUP BY ALL
   UNION ALL SELECT e.set_id, e.seq_idx, e.j, e.now, max(best.score + e.gain)::BIGINT FROM best JOIN e ON e.set_id = best.set_id AND e.seq_idx = best.seq_idx AND e.j = best.j + 1 AND e.was = best.now GROUP BY ALL),
 ranked AS (SELECT set_id, seq_idx, row_number() OVER (PARTITION BY set_id ORDER BY seq_idx) - 1 AS round FROM q),
 nodes AS (SELECT q.set_id, q.seq_idx, (SELECT count(*) FROM (SELECT DISTINCT c.j, c.now FROM c WHERE c.set_id = q.set_id AND c.seq_idx < q.seq_idx))::INT AS nodes_before FROM q)
-SELECT set_id, round::INT AS round, nodes_before, max(score) AS end_score FROM best JOIN ranked USING (set_id, seq_idx) JOIN nodes USING (set_id, seq_idx) WHERE j = 60 GROUP BY ALL""")
+SELECT set_id, round::INT AS round, nodes_before, max(score) AS end_score FROM best JOIN ranked USING (set_id, seq_idx) JOIN nodes USING (set_id, seq_idx) WHERE j = 18 GROUP BY ALL""")
 def poa_rounds_without_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where no gap is made, a sequence's score is that of the best way through the columns along edges of those before it."""
     return multiple.rounds(_equal_sets(spark, sf_dir, "rounds")).select("set_id", "round", "nodes_before", "end_score")
