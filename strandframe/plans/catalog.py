@@ -338,6 +338,15 @@ def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_sequences(spark, path).select("name", "sequence", "quality")
 
 
+@_query("SELECT 'doc' || doc_id AS name, source AS comment, regexp_replace(coalesce(text, ''), '[\n\r+]', '_', 'g') AS sequence, repeat('@', length(coalesce(text, ''))) AS quality FROM documents")
+def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as sequences, in plain files that are split among tasks; all qualities begin with the mark of a record."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r+]", "_")
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), F.col("source").alias("comment"), text.alias("sequence"), F.repeat(F.lit("@"), F.char_length(text)).alias("quality"))
+    files.write_fastq(d, path := _folder(spark, "fastq"), include_comment=True)
+    return files.scan_fastq(spark, path).select("name", "comment", "sequence", "quality")
+
+
 @_query("""SELECT doc_id, i::BIGINT AS line, substr(text, i * 80 + 1, 80) AS part FROM (
 SELECT doc_id, coalesce(text, '') AS text, unnest(generate_series(0, greatest(1, ceil(length(coalesce(text, '')) / 80.0))::BIGINT - 1)) AS i FROM documents)""")
 def fasta_wrap80(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Sequence files as DataFrames, on any file system that Spark reaches, and back.
 
 read_sequences() opens whole files (plain or gzip, told by their first bytes; Spark reads 2 GB of a file that way, and
-format("fastq") any size from mounted paths); scan_fasta() splits large plain FASTA files and stays in the JVM. Writers form the records' text with column functions and leave the files to Spark.
+format("fastq") any size from mounted paths); scan_fasta() and scan_fastq() split large plain files. Writers form the records' text with column functions and leave the files to Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,89 @@ def scan_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return text.select(hof.header_name(header).alias("name"), hof.header_comment(header).alias("comment"), F.array_join(rest, "").alias("sequence"))
 
 
+def _line_starts(lines: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each file the places of its splits and the number of the line that each begins with. A split is two numbers; Spark's driver holds more of each."""
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in lines.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        counts.setdefault(r.path, []).append((r["at"], r.n))
+    out = {}
+    for path, own in counts.items():
+        at, n = np.array(sorted(own)).T
+        out[path] = at, np.cumsum(n) - n
+    return out
+
+
+_PARTS = "path string, seq_id long, header string, sequence string, plus string, quality string, phase int, line string"
+
+
+def _fastq_parts(lines: DataFrame) -> DataFrame:
+    """The records of four lines that lie in one split, and the lines of those that don't, with their number among the four."""
+    sent = lines.sparkSession.sparkContext.broadcast(_line_starts(lines))
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string()]
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+
+    def table(columns: list) -> pa.RecordBatch:
+        size = len(columns[1])
+        return pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, list) else [c] * size, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    def alone(path: str, number: int, own: list[str]) -> pa.RecordBatch:
+        numbers = range(number, number + len(own))
+        return table([path, [i // 4 for i in numbers], None, None, None, None, [i % 4 for i in numbers], own])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, number, left = (None, 0), 0, []
+        for batch in batches:
+            paths, places, values = (batch.column(c).to_pylist() for c in ("path", "at", "value"))
+            cuts = [0, *(i for i in range(1, len(paths)) if places[i] != places[i - 1] or paths[i] != paths[i - 1]), len(paths)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                own = [v.removesuffix("\r") for v in values[a:b]]
+                if split != (paths[a], places[a]):
+                    if left:
+                        yield alone(split[0], number, left)
+                    split = paths[a], places[a]
+                    at, first = sent.value[paths[a]]
+                    number, left = int(first[np.searchsorted(at, places[a])]), []
+                    if (head := -number % 4) and own:
+                        yield alone(split[0], number, own[:head])
+                        number, own = number + len(own[:head]), own[head:]
+                elif -number % 4 and not left:  # the split's first lines were fewer than those of its first record
+                    head = -number % 4
+                    yield alone(split[0], number, own[:head])
+                    number, own = number + len(own[:head]), own[head:]
+                left += own
+                if whole := len(left) // 4 * 4:
+                    yield table([split[0], list(range(number // 4, (number + whole) // 4)), left[0:whole:4], left[1:whole:4], left[2:whole:4], left[3:whole:4], None, None])
+                    number, left = number + whole, left[whole:]
+        if left:
+            yield alone(split[0], number, left)
+
+    return lines.mapInArrow(run, _PARTS)
+
+
+def scan_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, seq_id, format, name, comment, sequence, quality of FASTQ files, large plain ones split among tasks.
+
+    Lines of all splits are counted first, so that each split knows the number of its first line and, as records are four
+    lines, where in a record it begins: no quality is taken for a header. Records that two splits share are put together
+    from their lines. Files whose records aren't four lines each, as with wrapped sequences or blank lines between, are found by
+    their marks and lengths and read by read_sequences(), one task a file; so is a file of another kind, which that refuses.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    parts = _fastq_parts(lines)
+    joined = parts.where(F.col("phase").isNotNull()).groupBy("path", "seq_id").agg(F.map_from_entries(F.collect_list(F.struct("phase", "line"))).alias("l"))
+    of = lambda k: F.coalesce(F.element_at("l", F.lit(k)), F.lit("")).alias(("header", "sequence", "plus", "quality")[k])
+    found = parts.where(F.col("phase").isNull()).select("path", "seq_id", "header", "sequence", "plus", "quality").unionByName(joined.select("path", "seq_id", *map(of, range(4))))
+    found = found.where(F.concat("header", "sequence", "plus", "quality") != "")  # blank lines behind the last record
+    right = F.startswith("header", F.lit("@")) & F.startswith("plus", F.lit("+")) & ~F.startswith("sequence", F.lit("+")) & (F.char_length("sequence") == F.char_length("quality"))
+    other = [r.path for r in found.where(~right).select("path").distinct().collect()]
+    header = F.substr("header", F.lit(2))
+    out = found.where(~F.col("path").isin(other)) if other else found
+    out = out.select("path", "seq_id", F.lit("fastq").alias("format"), hof.header_name(header).alias("name"), hof.header_comment(header).alias("comment"), "sequence", "quality")
+    return out.unionByName(read_sequences(spark, other, "fastq")) if other else out
+
+
 def _sequence(case: str) -> Column:
     return hof.folded(F.coalesce(F.col("sequence"), F.lit("")), case)
 

@@ -126,3 +126,44 @@ def test_records_are_read_as_they_are_asked_for(tmp_path):
         with Counted(tmp_path / name) as f:
             assert next(records(f))[1] == "r"
             assert 0 < Counted.got < 200_000 < (tmp_path / name).stat().st_size
+
+
+def _fastq(n, wrapped=False):
+    rng = random.Random(n)
+    out = []
+    for i in range(n):
+        s = "".join(rng.choice("ACGTé") for _ in range(rng.randint(0, 60)))
+        q = "".join(rng.choice("@+I>") for _ in s)
+        cut = len(s) // 2 if wrapped and len(s) > 2 else 0
+        parts = [f"@r{i} c {i}", *([s[:cut], s[cut:]] if cut else [s]), rng.choice(("+", f"+r{i}")), *([q[:cut], q[cut:]] if cut else [q])]
+        out.append(rng.choice(("\n", "\r\n")).join(parts))
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("split", [700, 4096, 1 << 20])
+def test_fastq_is_split_where_records_may_go_on(spark, tmp_path, split):
+    (tmp_path / "large.fq").write_bytes(_fastq(900).encode())
+    (tmp_path / "end.fq").write_bytes((_fastq(30) + "\n\n\n").encode())
+    (tmp_path / "wrapped.fq").write_bytes((_fastq(300, wrapped=True) + "\n").encode())
+    (tmp_path / "blank.fq").write_bytes(_fastq(50).replace("\n@r7 ", "\n\n@r7 ").encode())
+    (tmp_path / "z.fq.gz").write_bytes(gzip.compress(_fastq(80).encode()))
+    (tmp_path / "none.fq").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = spark.read.text(str(tmp_path))
+        found = files.scan_fastq(spark, str(tmp_path))
+        if split < 5000:
+            assert lines.rdd.getNumPartitions() > 10
+        key = lambda r: (r.path.rpartition("/")[2], r.seq_id, r.format, r.name, r.comment, r.sequence, r.quality)
+        got = sorted(map(key, found.collect()))
+        assert got == sorted(map(key, files.read_sequences(spark, str(tmp_path)).collect())) and len(got) == 900 + 30 + 300 + 50 + 80
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_fastq_scan_refuses_other_files(spark, tmp_path):
+    (tmp_path / "x.fq").write_text(">a\nAC\n")
+    with pytest.raises(Exception, match="not fastq"):
+        files.scan_fastq(spark, str(tmp_path)).count()
