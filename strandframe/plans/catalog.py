@@ -330,6 +330,17 @@ def fastq_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("seqfile").load(path).select("name", "sequence", "quality")
 
 
+@_query("SELECT 'doc' || doc_id AS name, lang AS comment, length(text)::BIGINT AS symbols FROM documents WHERE ends_with('doc' || doc_id, '7') AND lang = 'en'")
+def seqfile_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as FASTA records, of which a filter on names and comments is pushed into the reader."""
+    datasource.register(expose(spark))
+    text = F.regexp_replace("text", "[\n\r>]", "_")
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), F.col("lang").alias("comment"), text.alias("sequence"))
+    files.write_fasta(d, path := _folder(spark, "fasta"), include_comment=True)
+    found = spark.read.format("seqfile").load(path).where(F.endswith("name", F.lit("7")) & (F.col("comment") == "en") & (F.col("format") == "fasta"))
+    return found.select("name", "comment", F.char_length("sequence").cast("bigint").alias("symbols"))
+
+
 @_query(f"SELECT 'item' || item_id AS name, lower({oracle.DNA}) AS sequence, repeat('@', length({oracle.DNA})) AS quality FROM benchmark")
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gzip files whose quality lines all begin with the mark of a record."""

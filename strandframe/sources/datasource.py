@@ -1,6 +1,8 @@
 """format("fasta"), format("fastq") and format("seqfile"): Python data sources over mounted paths.
 
-They serve sessions that want spark.read.format(...); files.py reads any file system that Spark itself can.
+They serve sessions that want spark.read.format(...); files.py reads any file system that Spark itself can. Filters on path,
+format, seq_id, name and comment are pushed into the readers: other files aren't opened, or no further than to their first
+mark, and of other records only headers are decoded.
 """
 
 from __future__ import annotations
@@ -9,11 +11,13 @@ import glob
 import gzip
 import os
 import uuid
-from collections.abc import Iterator
+import operator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import datasource as spark_source
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .parse import records
@@ -38,9 +42,38 @@ class _Written(WriterCommitMessage):
     final: str
 
 
+#: What a pushed filter asks of a column's value, which is never null in these columns.
+_TESTS: dict[type, Callable[[object, object], bool]] = {
+    spark_source.EqualTo: operator.eq,
+    spark_source.EqualNullSafe: operator.eq,
+    spark_source.GreaterThan: operator.gt,
+    spark_source.GreaterThanOrEqual: operator.ge,
+    spark_source.LessThan: operator.lt,
+    spark_source.LessThanOrEqual: operator.le,
+    spark_source.In: lambda v, x: v in x,
+    spark_source.StringStartsWith: lambda v, x: v.startswith(x),
+    spark_source.StringEndsWith: lambda v, x: v.endswith(x),
+    spark_source.StringContains: lambda v, x: x in v,
+    spark_source.IsNotNull: lambda v, _: True,
+}
+_PUSHED = ("path", "format", "seq_id", "name", "comment")
+
+
+class _Chosen:
+    """Asked for each header of a file, in order; number is that of the last one."""
+
+    def __init__(self, fits: Callable[..., bool]):
+        self.fits, self.number = fits, -1
+
+    def __call__(self, name: str, comment: str) -> bool:
+        self.number += 1
+        return self.fits(seq_id=self.number, name=name, comment=comment)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, form: str):
         self.form, path = form, mounted(options.get("path", ""))
+        self.pushed: list[tuple[str, type, object]] = []
         if os.path.isdir(path):
             self.paths = sorted(p for p in glob.glob(f"{path}/*") if os.path.isfile(p) and os.path.basename(p)[0] not in "._")
         else:
@@ -48,13 +81,25 @@ class _Reader(DataSourceReader):
         if not self.paths:
             raise FileNotFoundError(f"no file at {path!r}")
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes what can be told from a path, a first mark or a header; the rest stays Spark's."""
+        for f in filters:
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in _PUSHED and getattr(f, "value", "") is not None:
+                self.pushed.append((f.attribute[0], type(f), getattr(f, "value", None)))
+            else:
+                yield f
+
+    def fits(self, **values: object) -> bool:
+        return all(_TESTS[kind](values[c], x) for c, kind, x in self.pushed if c in values)
+
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        return [_File(p) for p in self.paths if self.fits(path=p)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
+        chosen = _Chosen(self.fits)
         with open(partition.path, "rb", buffering=0) as f:  # read as records are asked for, whatever the file's size
-            for i, r in enumerate(records(f, self.form)):
-                yield (partition.path, i, *r)
+            for r in records(f, self.form, chosen, lambda found: self.fits(format=found)):
+                yield (partition.path, chosen.number, *r)
 
 
 class _Writer(DataSourceWriter):
@@ -146,5 +191,7 @@ class SequenceFileDataSource(_Sequences):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the formats known to a session, and let Spark push filters into Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (FastaDataSource, FastqDataSource, SequenceFileDataSource):
         spark.dataSource.register(source)

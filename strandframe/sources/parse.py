@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 FORMATS = ("fasta", "fastq")
@@ -41,8 +41,12 @@ def split_header(line: str) -> tuple[str, str]:
     return name, comment
 
 
-def read_fasta(lines: Iterable[str]) -> Iterator[tuple[str, str, str]]:
-    """Name, comment, sequence. What comes before the first > is left out; a record may have an empty sequence."""
+Want = Callable[[str, str], bool]
+
+
+def read_fasta(lines: Iterable[str], want: Want | None = None) -> Iterator[tuple[str, str, str]]:
+    """Name, comment, sequence. What comes before the first > is left out; a record may have an empty sequence. want is asked
+    once for each header, in order; the lines of a record that it refuses are passed over."""
     header: tuple[str, str] | None = None
     parts: list[str] = []
     for line in _lines(lines):
@@ -50,40 +54,48 @@ def read_fasta(lines: Iterable[str]) -> Iterator[tuple[str, str, str]]:
             if header is not None:
                 yield *header, "".join(parts)
             header, parts = split_header(line[1:]), []
+            if want is not None and not want(*header):
+                header = None
         elif header is not None:
             parts.append(line)
     if header is not None:
         yield *header, "".join(parts)
 
 
-def read_fastq(lines: Iterable[str]) -> Iterator[tuple[str, str, str, str]]:
-    """Name, comment, sequence, quality. The quality has as many characters as the sequence, so its lines may start with @."""
+def read_fastq(lines: Iterable[str], want: Want | None = None) -> Iterator[tuple[str, str, str, str]]:
+    """Name, comment, sequence, quality. The quality has as many characters as the sequence, so its lines may start with @.
+    want is asked as by read_fasta(); of a record that it refuses only lengths are looked at."""
     header: tuple[str, str] | None = None
     seq: list[str] = []
     qual: list[str] = []
     state, need = "header", 0
     for line in _lines(lines):
         if state == "quality" and need > 0:
-            qual.append(line)
             need -= len(line)
+            if header is not None:
+                qual.append(line)
             continue
         if state == "sequence":
             if line[0] == "+":
-                state, need = "quality", sum(map(len, seq))
-            else:
+                state = "quality"
+                continue
+            need += len(line)
+            if header is not None:
                 seq.append(line)
             continue
         if line[0] == "@":
             if header is not None:
                 yield *header, "".join(seq), "".join(qual)
-            header, seq, qual, state = split_header(line[1:]), [], [], "sequence"
+            header, seq, qual, state, need = split_header(line[1:]), [], [], "sequence", 0
+            if want is not None and not want(*header):
+                header = None
     if header is not None:
         yield *header, "".join(seq), "".join(qual)
 
 
-def records(raw: bytes | BinaryIO, form: str = "auto") -> Iterator[tuple[str, str, str, str, str | None]]:
+def records(raw: bytes | BinaryIO, form: str = "auto", want: Want | None = None, forms: Callable[[str], bool] | None = None) -> Iterator[tuple[str, str, str, str, str | None]]:
     """Format, name, comment, sequence, quality of each record. A form that the file isn't of is an error, as is a file
-    without a mark if it isn't empty."""
+    without a mark if it isn't empty. want chooses records by name and comment, forms files by what they are."""
     text = open_text(raw)
     lines: Iterable[str] = text
     head: list[str] = []
@@ -98,8 +110,10 @@ def records(raw: bytes | BinaryIO, form: str = "auto") -> Iterator[tuple[str, st
         return
     if form not in ("auto", found):
         raise ValueError(f"the file is {found}, not {form}")
+    if forms is not None and not forms(found):
+        return
     rest = (x for part in (head, lines) for x in part)
     if found == "fasta":
-        yield from (("fasta", *r, None) for r in read_fasta(rest))
+        yield from (("fasta", *r, None) for r in read_fasta(rest, want))
     else:
-        yield from (("fastq", *r) for r in read_fastq(rest))
+        yield from (("fastq", *r) for r in read_fastq(rest, want))

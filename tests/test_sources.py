@@ -167,3 +167,31 @@ def test_fastq_scan_refuses_other_files(spark, tmp_path):
     (tmp_path / "x.fq").write_text(">a\nAC\n")
     with pytest.raises(Exception, match="not fastq"):
         files.scan_fastq(spark, str(tmp_path)).count()
+
+
+def test_filters_are_pushed_into_the_reader(spark, tmp_path):
+    register(spark)
+    (tmp_path / "a.fa").write_text("".join(f">r{i} c{i % 3}\nAC\nGT{i}\n" for i in range(30)))
+    (tmp_path / "b.fq").write_text(_fastq(40, wrapped=True))
+    plain = [r for r in spark.read.format("seqfile").load(str(tmp_path)).collect()]
+    df = spark.read.format("seqfile").load(str(tmp_path))
+    for where, own in (
+        ("name = 'r7'", lambda r: r.name == "r7"),
+        ("name like 'r1%' and comment in ('c1', 'c 11')", lambda r: r.name.startswith("r1") and r.comment in ("c1", "c 11")),
+        ("format = 'fastq' and seq_id >= 35", lambda r: r.format == "fastq" and r.seq_id >= 35),
+        ("length(sequence) > 40 and name <> 'r3' and comment is not null", lambda r: len(r.sequence) > 40 and r.name != "r3"),
+        ("name = 'r2' or seq_id = 5", lambda r: r.name == "r2" or r.seq_id == 5),
+        (f"path = '{tmp_path}/b.fq' and quality is not null", lambda r: r.path.endswith("b.fq")),
+    ):
+        assert sorted(df.where(where).collect()) == sorted(filter(own, plain)), where
+    steps = lambda where: df.where(where)._jdf.queryExecution().executedPlan().toString().replace("RuntimeFilters", "")
+    assert "Filter" not in steps("name = 'r7' and seq_id < 3") and "Filter" in steps("quality = 'I'")  # what is left to Spark is a step of its own
+    assert df.where(f"path = '{tmp_path}/b.fq'").rdd.getNumPartitions() == 1
+
+
+def test_refused_records_are_not_kept():
+    asked = []
+    want = lambda name, comment: asked.append(name) or name == "r5"
+    text = "".join(f"@r{i}\nAC\n+\n@@\n" for i in range(9)).encode()
+    assert [r[1] for r in records(text, "auto", want)] == ["r5"] and asked == [f"r{i}" for i in range(9)]
+    assert list(records(text, "auto", want, lambda form: form == "fasta")) == []
