@@ -25,7 +25,7 @@ from .common import bounded_rows, documents, expose, fold, forget, groups, store
 #: Labelled documents that are learnt from, at most; their texts may have any length.
 SAMPLE = 4_000
 #: Bytes of a window, bytes that are read before it, units of a direction, windows that are read in step.
-WINDOW, WARM, HIDDEN, LANES = 256, 32, 8, 2048
+WINDOW, WARM, HIDDEN, LANES = 512, 32, 8, 2048
 STEPS, BATCH, LENGTH, RATE, SEED = 500, 192, 64, 0.02, 5
 #: Places that are drawn from each document of the sample.
 PLACES = 48
