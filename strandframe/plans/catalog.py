@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hof
 from ..functions import sql as sql_functions
-from ..operators import multiple, pairwise, qgram, wavefront
+from ..operators import halving, multiple, pairwise, qgram, wavefront
 from ..scheme import DEFAULT, DEFAULT_BLOCK, ScoringScheme
 from ..sources import datasource, files
 from ..streaming import incremental as stream
@@ -101,7 +101,10 @@ def nw_score_linear_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.score_pairs(part_pairs(spark, sf_dir), scheme=LINEAR).select("k1", "k2", "global_score")
 
 
-@_query()
+_ITEM_PAIRS = f"SELECT x.item_id AS k1, x.s AS a, y.s AS b FROM (SELECT item_id, {oracle.DNA} AS s FROM benchmark) x JOIN (SELECT item_id, {oracle.DNA} AS s FROM benchmark) y ON y.item_id = x.item_id + 1"
+
+
+@_query(f"WITH RECURSIVE {oracle.dp_cells(_ITEM_PAIRS)} SELECT k1 AS item_id, global_score, max_cell_score FROM scored")
 def nw_dna_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.score_pairs(dna_pairs(spark, sf_dir)).select("item_id", "global_score", "max_cell_score")
 
@@ -237,6 +240,14 @@ def nw_dna_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.align_pairs(dna_pairs(spark, sf_dir)).select("item_id", "global_score", "max_cell_score", "swapped", "row_a", "row_b", "ops")
 
 
+@_query(f"WITH RECURSIVE {oracle.dp_cells(_ITEM_PAIRS)} SELECT k1 AS item_id, global_score, length(a)::BIGINT AS symbols_a, length(b)::BIGINT AS symbols_b FROM scored JOIN pairs USING (k1)")
+def halved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of texts in linear space, cut into pieces of 5,000 cells; the score is worked out from their operations."""
+    d = halving.align_long(dna_pairs(spark, sf_dir), "item_id", _folder(spark, "halved_pairs"), cells=5000)
+    symbols = lambda other: F.char_length(F.translate("ops", other, "")).cast("bigint")
+    return d.select("item_id", "global_score", symbols("I").alias("symbols_a"), symbols("D").alias("symbols_b"))
+
+
 _DNA_NAMES = f"SELECT k1, k2, {oracle.DNA.replace('text', 'a')} AS a, {oracle.DNA.replace('text', 'b')} AS b FROM ({oracle.NAMES})"
 
 

@@ -29,6 +29,23 @@ dp AS (
 scored AS (SELECT k1, k2, a, b, h[length(a) + 1]::BIGINT AS global_score, best::BIGINT AS max_cell_score FROM dp WHERE i = length(b))"""
 
 
+def dp_cells(pairs: str, scheme: ScoringScheme = DEFAULT) -> str:
+    """dp() for longer strings, of a query of k1, a, b: cells are rows, a step of the recursion works out one row of all
+    matrices, and gaps along it are a running maximum. A string must not be empty."""
+    m, x, e, o = scheme.match, scheme.mismatch, scheme.gap_extend, scheme.gap_open
+    return f"""
+pairs AS ({pairs}),
+cells AS (
+  SELECT k1, 0::BIGINT AS i, j, c, b, (CASE WHEN j = 0 THEN 0 ELSE {o} + j * {e} END)::BIGINT AS h, (CASE WHEN j = 0 THEN 0 ELSE {2 * o + e} + j * {e} END)::BIGINT AS e
+  FROM (SELECT k1, b, unnest(range(0, length(a) + 1)) AS j, unnest([''] || string_split(a, '')) AS c FROM pairs)
+  UNION ALL
+  SELECT k1, i + 1, j, c, b, r, greatest(e, r + {o}) + {e}
+  FROM (SELECT *, greatest(g, {o} + j * {e} + max(g - j * {e}) OVER (PARTITION BY k1 ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS r
+    FROM (SELECT *, CASE WHEN j = 0 THEN {o} + (i + 1) * {e} ELSE greatest(lag(h) OVER (PARTITION BY k1 ORDER BY j) + CASE WHEN c = b[i + 1] THEN {m} ELSE {x} END, e) END AS g
+      FROM cells WHERE i < length(b)))),
+scored AS (SELECT k1, arg_max(h, i * 1000000 + j)::BIGINT AS global_score, greatest({CELL_FLOOR}, max(h) FILTER (i > 0 AND j > 0))::BIGINT AS max_cell_score FROM cells GROUP BY k1)"""
+
+
 def trace(pairs: str, scheme: ScoringScheme = DEFAULT) -> str:
     """CTEs ending in `traced` (k1, k2, swapped, row_a, row_b, ops, global_score): the same rows kept whole, then a walk
     back that carries the gap it must stay in (0 none, 1 along the row, 2 along the column)."""
