@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrow, hof
+from ..functions import arrow, banded, hof
 from ..scheme import DEFAULT, ScoringScheme
 
 #: Rows of a block of all_pairs().
@@ -15,8 +15,8 @@ PAIR_ROWS = 500
 def score_pairs(df: DataFrame, a: str = "a", b: str = "b", scheme: ScoringScheme = DEFAULT, method: str = "arrow", at_least: int | None = None) -> DataFrame:
     """df with global_score and max_cell_score.
 
-    method: arrow (any length), catalyst (short strings, no Python), or edit for the scheme whose score is the negated
-    Levenshtein distance, which has no max_cell_score. at_least keeps pairs that score so much, after a filter on their
+    method: arrow (any length), catalyst (short strings, no Python), banded (long strings that differ little, exact always;
+    no max_cell_score), or edit for the scheme whose score is the negated Levenshtein distance, which has none either. at_least keeps pairs that score so much, after a filter on their
     lengths that Catalyst can push below the kernel. No traceback is ever computed here.
     """
     x, y = F.col(a), F.col(b)
@@ -26,12 +26,14 @@ def score_pairs(df: DataFrame, a: str = "a", b: str = "b", scheme: ScoringScheme
         if not scheme.is_edit_distance:
             raise ValueError("this scheme isn't an edit distance")
         out = df.withColumn("global_score", hof.edit_score(x, y))
+    elif method == "banded":
+        out = df.withColumn("global_score", banded.scores(x, y, scheme)["global_score"])
     elif method in ("arrow", "catalyst"):
         score = arrow.scores(x, y, scheme, once=at_least is not None) if method == "arrow" else hof.scores(x, y, scheme)
         d = df.withColumn("_s", score)
         out = d.withColumns({"global_score": F.col("_s.global_score"), "max_cell_score": F.col("_s.max_cell_score")}).drop("_s")
     else:
-        raise ValueError("method must be arrow, catalyst or edit")
+        raise ValueError("method must be arrow, catalyst, banded or edit")
     return out if at_least is None else out.where(F.col("global_score") >= at_least)
 
 

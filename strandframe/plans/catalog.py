@@ -96,6 +96,12 @@ def nw_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.score_pairs(part_pairs(spark, sf_dir)).select("k1", "k2", "global_score", "max_cell_score")
 
 
+@_query(f"WITH RECURSIVE {oracle.dp(oracle.PARTS)} {_SCORED}")
+def nw_banded_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores within bands that are widened until they are proven."""
+    return pairwise.score_pairs(part_pairs(spark, sf_dir), method="banded").select("k1", "k2", "global_score")
+
+
 @_query(f"WITH RECURSIVE {oracle.dp(oracle.PARTS, LINEAR)} {_SCORED}")
 def nw_score_linear_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.score_pairs(part_pairs(spark, sf_dir), scheme=LINEAR).select("k1", "k2", "global_score")
