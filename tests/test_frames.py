@@ -117,13 +117,15 @@ def test_stream_grows_the_same_graph(spark, tmp_path):
 def test_query_matches_its_sql(spark, name):
     import duckdb
 
-    df = catalog.QUERIES[name](spark, SF)
+    # no nation has two suppliers in the smallest tables
+    sf = os.path.join(os.path.dirname(SF.rstrip("/")), "sf0.01") if name == "poa_rounds_without_gaps" else SF
+    df = catalog.QUERIES[name](spark, sf)
     rows = sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
     assert rows
     if name in catalog.ORACLES:
         con = duckdb.connect()
-        for t in ("nation", "region", "part", "documents", "pages", "benchmark"):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        for t in ("nation", "region", "part", "supplier", "documents", "pages", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         want = con.execute(catalog.ORACLES[name])
         columns = [c[0] for c in want.description]
         order = sorted(range(len(columns)), key=columns.__getitem__)
