@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hof
 from ..functions import sql as sql_functions
-from ..operators import halving, multiple, pairwise, qgram, wavefront
+from ..operators import halving, heaviest, multiple, pairwise, qgram, wavefront
 from ..scheme import DEFAULT, DEFAULT_BLOCK, ScoringScheme
 from ..sources import datasource, files
 from ..streaming import incremental as stream
@@ -581,6 +581,42 @@ def msa_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiple.msa_consensus(_brand_sets(spark, sf_dir, "consensus"))
 
 
+@_query()
+def poa_consensus_as_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heaviest paths of all brands' graphs by rounds of joins over their nodes and edges."""
+    _brand_sets(spark, sf_dir, "nodes", "edges").write.parquet(path := _folder(spark, "sets"))
+    sets = spark.read.parquet(path)
+    return heaviest.consensus(multiple.graph_nodes(sets), multiple.graph_edges(sets), _folder(spark, "paths"))
+
+
+@_query(ORACLES["msa_consensus_of_pairs"])
+def poa_consensus_of_pairs_as_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _pair_sets(spark, sf_dir, "nodes", "edges").write.parquet(path := _folder(spark, "sets"))
+    sets = spark.read.parquet(path)
+    return heaviest.consensus(multiple.graph_nodes(sets), multiple.graph_edges(sets), _folder(spark, "paths"))
+
+
+_PLACES = "SELECT p_brand AS set_id, i::BIGINT AS i, ascii(s[i + 1])::BIGINT AS c, CASE WHEN i > 0 THEN ascii(s[i])::BIGINT END AS b FROM (SELECT p_brand, s, unnest(generate_series(0, length(s) - 1)) AS i FROM (SELECT DISTINCT p_brand, p_name AS s FROM part))"
+
+
+@_query(f"""WITH RECURSIVE places AS ({_PLACES}), e AS (SELECT set_id, i, b, c, count(*) AS w FROM places WHERE i > 0 GROUP BY ALL),
+best AS (SELECT set_id, 0::BIGINT AS i, c, 0::BIGINT AS score, -1::BIGINT AS pred, 1 AS len FROM places WHERE i = 0 GROUP BY ALL
+UNION ALL SELECT set_id, i, c, score, pred, len FROM (
+  SELECT e.set_id, e.i, e.c, best.score + e.w AS score, best.i * 128 + e.b AS pred, best.len + 1 AS len,
+  row_number() OVER (PARTITION BY e.set_id, e.c ORDER BY e.w DESC, best.score DESC, e.b DESC) AS r FROM best JOIN e ON e.set_id = best.set_id AND e.i = best.i + 1 AND e.b = best.c) WHERE r = 1)
+SELECT set_id, i * 128 + c AS node_id, score::BIGINT AS hp_score, pred::INT AS hp_pred, len::INT AS hp_len FROM best""")
+def poa_best_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of the part names of each brand, written above each other without gaps: one node for each place and letter,
+    which many names leave and enter; the best way to each node."""
+    s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("set_id"), F.col("p_name").alias("s")).distinct()
+    at = s.select("set_id", F.posexplode(F.transform(hof.symbols(F.col("s")), lambda c: F.ascii(c).cast("bigint"))).alias("i", "c"), "s")
+    node = F.col("i") * 128 + F.col("c")
+    before = (F.col("i") - 1) * 128 + F.ascii(F.substring("s", F.col("i"), F.lit(1)))
+    nodes = at.select("set_id", node.alias("node_id"), node.alias("topo_idx")).distinct()
+    edges = at.where("i > 0").select("set_id", before.alias("src"), node.alias("dst")).groupBy("set_id", "src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return heaviest.best_ways(nodes, edges.withColumn("pred_ord", F.col("src")), _folder(spark, "paths"))
+
+
 @_query()
 def msa_sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brand_sets(spark, sf_dir, "rows", "consensus").select("set_id", files.msa_text().alias("record"))
