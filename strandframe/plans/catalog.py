@@ -15,6 +15,7 @@ from ..functions import sql as sql_functions
 from ..operators import halving, heaviest, multiple, pairwise, qgram, wavefront
 from ..scheme import DEFAULT, DEFAULT_BLOCK, ScoringScheme
 from ..sources import datasource, files
+from ..streaming import files as stream_files
 from ..streaming import incremental as stream
 from . import oracle
 
@@ -622,6 +623,18 @@ def msa_sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brand_sets(spark, sf_dir, "rows", "consensus").select("set_id", files.msa_text().alias("record"))
 
 
+@_query("SELECT 'doc' || doc_id AS name, coalesce(lang, '') AS comment, length(coalesce(text, ''))::BIGINT AS symbols FROM documents")
+def streaming_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as FASTA files that a stream reads, 100 at a time, and writes as FASTA files again, one folder a micro-batch."""
+    text = F.regexp_replace("text", "[\n\r>]", "_")
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), F.col("lang").alias("comment"), text.alias("sequence"))
+    files.write_fasta(d, path := _folder(spark, "fasta"), include_comment=True)
+    out, state = _folder(spark, "epochs"), _folder(spark, "state")
+    read = stream_files.stream_sequences(spark, f"{path}/part-*", files_a_batch=100)
+    stream_files.write_epochs(read, out, state, files.fasta_text(include_comment=True)).trigger(availableNow=True).start().awaitTermination()
+    return files.scan_fasta(spark, f"{out}/epoch=*").select("name", "comment", F.char_length("sequence").cast("bigint").alias("symbols"))
+
+
 @_query("SELECT n_regionkey::BIGINT AS set_id, count(*)::INT AS n_sequences, sum(length(n_name) - 1)::BIGINT AS weight FROM nation GROUP BY n_regionkey")
 def streaming_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of nations as a stream, a set for each region: how many joined, and the weight of the edges they left."""

@@ -20,11 +20,8 @@ SCHEMA = "path string, seq_id long, format string, name string, comment string,
 ROWS = 1000
 
 
-def read_sequences(spark: SparkSession, path: str | list[str], form: str = "auto") -> DataFrame:
-    """path, seq_id (number within the file, from 0), format, name, comment, sequence, quality (null in FASTA).
-
-    A file is one task's; missing paths are Spark's error. form fasta or fastq refuses other files.
-    """
+def decoded(contents: DataFrame, form: str = "auto") -> DataFrame:
+    """The records of whole files, given as path and content, of a table or a stream."""
     if form not in ("auto", "fasta", "fastq"):
         raise ValueError("form must be auto, fasta or fastq")
 
@@ -42,7 +39,15 @@ def read_sequences(spark: SparkSession, path: str | list[str], form: str = "auto
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return contents.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def read_sequences(spark: SparkSession, path: str | list[str], form: str = "auto") -> DataFrame:
+    """path, seq_id (number within the file, from 0), format, name, comment, sequence, quality (null in FASTA).
+
+    A file is one task's; missing paths are Spark's error. form fasta or fastq refuses other files.
+    """
+    return decoded(spark.read.format("binaryFile").load(path), form)
 
 
 def scan_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
