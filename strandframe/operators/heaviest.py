@@ -30,7 +30,7 @@ class _Rounds:
         if left is not None:
             df = df.observe(seen, F.count_if(left).alias("n"))
         df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"] if left is not None else 0
+        return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("n", 0) if left is not None else 0  # an empty plan may leave no count
 
 
 def _as(df: DataFrame, node: str, *columns: str) -> DataFrame:
