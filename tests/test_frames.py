@@ -87,6 +87,22 @@ def test_score_join_scores_few_pairs(spark):
     assert met.count() == qgram.score_join(df, "id", "s", 90).count() == 40  # of 57,630 pairs
 
 
+def test_score_join_of_texts_alike_in_all_but_one_symbol(spark):
+    """Texts that share their frequent q-grams meet by what differs, and rows of one text are pairs of their own."""
+    names = [f"Supplier#{i:09d}" for i in range(60)] + ["Supplier#00000001", "Supplier#0000000123", "Supplier#00000012345", "supplier#000000123456789"]
+    rows = [(i, s) for i, s in enumerate(names)] + [(1000 + i, names[i]) for i in range(0, 40, 3)]
+    df = spark.createDataFrame(rows, "id int, s string")
+    for at_least in (29, 36):
+        found = qgram.score_join(df, "id", "s", at_least, q=4).select("x.id", F.col("y.id").alias("b"), "global_score")
+        every = pairwise.all_pairs(df, "id").select(F.col("x.id").alias("i"), F.col("y.id").alias("j"), F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+        want = [(r.i, r.j, r.global_score) for r in pairwise.score_pairs(every, at_least=at_least).collect()]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    own = df.where("length(s) = 18 and id < 60")
+    met = qgram.candidates(own, "s", "s", 29, q=4)
+    assert met.count() == qgram.score_join(own, "s", "s", 29, q=4).count()
+    assert "_grams" not in met._jdf.queryExecution().optimizedPlan().toString()  # before, all pairs met by a frequent q-gram
+
+
 def test_msa_takes_its_order_from_a_column(spark):
     rows = [(1, 2, "ACGT"), (1, 0, "ACT"), (1, 1, None), (2, 0, "A"), (3, 0, "")]
     sets = multiple.progressive(spark.createDataFrame(rows, "set_id int, seq_idx int, sequence string"))
