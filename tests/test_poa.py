@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from strandframe.functions.kernels import score_batch
+from strandframe.functions import poa
 from strandframe.functions.poa import Graph, align_to_graph, grow, heaviest_path, progressive
 from strandframe.plans import oracle
 from strandframe.scheme import DEFAULT, ScoringScheme
@@ -168,3 +169,33 @@ def test_sets_of_two_match_sql(scheme):
     for i, _, a, b in pairs:
         r = progressive([a, b], scheme)
         assert got[i] == (*r.rows, r.consensus), (a, b)
+
+
+@pytest.mark.parametrize("scheme", [ScoringScheme(2, -5, -2, -4), ScoringScheme(2, -1, -100, -127), ScoringScheme(1, -1, -1, 0)])
+def test_alignments_worked_out_ahead_change_nothing(scheme, monkeypatch):
+    """Sets with many repeats and few changes, next to sets in which each sequence brings something."""
+    rng = random.Random(21)
+    for case in range(30):
+        pool = ["".join(rng.choice("ACGT"[: 2 + case % 3]) for _ in range(rng.choice((0, 1, 6, 9)) if case % 2 else 8)) for _ in range(rng.choice((3, 12)))]
+        own = [rng.choice(pool) for _ in range(rng.choice((5, 40)))]
+        if case % 5 == 0:
+            monkeypatch.setattr(poa, "AHEAD_CELLS", 300)
+        graph, rounds = Graph(), []
+        for i, s in enumerate(own):
+            r = grow(graph, s, i, scheme)
+            if r[0]:
+                rounds.append(r)
+        got, want = progressive(own, scheme), poa.finish(graph, len(own), rounds)
+        got.graph.version = want.graph.version
+        assert got == want
+        monkeypatch.undo()
+
+
+def test_many_sequences_take_few_passes_over_the_graph(monkeypatch):
+    """Names of which most bring nothing new; before, each one was a pass of its own."""
+    passes = []
+    init = poa.GraphPlanes.__init__
+    monkeypatch.setattr(poa.GraphPlanes, "__init__", lambda self, *a, **b: (passes.append(1), init(self, *a, **b))[1])
+    names = [f"Supplier#{(i * 37) % 1000:09d}" for i in range(1000)]
+    found = progressive(names, ScoringScheme(2, -1, -100, -127))
+    assert found.rows == names and len(found.rounds) == 999 and len(passes) < 400
