@@ -59,7 +59,8 @@ def progressive(df: DataFrame, group: str = "set_id", order: str = "seq_idx", se
         return pd.DataFrame({"set_id": [key[0]], **{f: [make[f]()] for f in fields}})
 
     d = df.select(F.col(group).alias("set_id"), F.col(order).alias("o"), F.col(sequence).alias("s"), (F.col(name) if name else F.lit(None)).cast("string").alias("n")).where(F.col("s").isNotNull())
-    return d.groupBy("set_id").applyInPandas(run, schema)
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given outright: by their bytes, all sets would be one task's
+    return d.repartition(parts, "set_id").groupBy("set_id").applyInPandas(run, schema)
 
 
 def _view(sets: DataFrame, field: str) -> DataFrame:

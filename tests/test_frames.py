@@ -196,6 +196,13 @@ def test_only_the_wanted_fields_are_made(spark):
     assert multiple.msa_rows(multiple.progressive(df, fields=["rows"])).count() == 2
 
 
+def test_sets_are_dealt_among_tasks(spark):
+    """Small tables of many sequences: by their bytes Spark would give all sets to one task."""
+    df = spark.createDataFrame([(i, j, "abc") for i in range(40) for j in range(2)], "set_id int, seq_idx int, sequence string")
+    tasks = multiple.progressive(df, fields=["rounds"]).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 4
+
+
 def test_tiles_refuse_what_is_too_large_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(wavefront, "SYMBOLS", 5)
     with pytest.raises(ValueError, match="more than 5 symbols"):
