@@ -519,17 +519,33 @@ def _equal_sets(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     return multiple.progressive(d, scheme=_NO_GAPS, fields=fields)
 
 
-@_query(f"""WITH RECURSIVE {_EQUAL},
-c AS (SELECT set_id, seq_idx, j::INT AS j, s[j] AS now, s[j - 1] AS was FROM q, (SELECT unnest(generate_series(1, 18)) AS j)),
-e AS (SELECT DISTINCT t.set_id, t.seq_idx, t.j, p.was, p.now, CASE WHEN p.now = t.now THEN 2 ELSE -1 END AS gain FROM c t JOIN c p ON p.set_id = t.set_id AND p.j = t.j AND p.seq_idx < t.seq_idx),
+#: Two gaps cost more than 511 symbols can gain; texts have 326 at most.
+_NO_GAPS_IN_TEXTS = ScoringScheme(1, 0, -128, -128)
+_FILLED = f"""x AS (SELECT -1 - item_id // 5 AS set_id, item_id % 5 AS seq_idx, {oracle.DNA} AS s FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT s_nationkey::BIGINT AS set_id, s_suppkey AS seq_idx, s_name AS s, 2 AS hit, -1 AS miss FROM supplier
+  UNION ALL SELECT set_id, seq_idx, rpad(s, (max(length(s)) OVER (PARTITION BY set_id))::INT, 'N'), 1, 0 FROM x)"""
+
+
+def _filled_sets(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """All benchmark texts as nucleotides, whole, five a set: to the end of the set's longest each is filled with N."""
+    d = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select((-1 - F.expr("item_id div 5")).cast("bigint").alias("set_id"), (F.col("item_id") % 5).alias("seq_idx"), hof.dna(F.col("text")).alias("s"))
+    longest = F.max(F.char_length("s")).over(W.partitionBy("set_id"))
+    return multiple.progressive(d.select("set_id", "seq_idx", F.rpad("s", longest, F.lit("N")).alias("sequence")), scheme=_NO_GAPS_IN_TEXTS, fields=fields)
+
+
+@_query(f"""WITH RECURSIVE {_FILLED},
+c AS (SELECT set_id, seq_idx, j::INT AS j, s[j] AS now, s[j - 1] AS was, hit, miss FROM (SELECT *, unnest(generate_series(1, length(s))) AS j FROM q)),
+e AS (SELECT DISTINCT t.set_id, t.seq_idx, t.j, p.was, p.now, CASE WHEN p.now = t.now THEN t.hit ELSE t.miss END AS gain FROM c t JOIN c p ON p.set_id = t.set_id AND p.j = t.j AND p.seq_idx < t.seq_idx),
 best AS (SELECT set_id, seq_idx, j, now, max(gain)::BIGINT AS score FROM e WHERE j = 1 GROUP BY ALL
   UNION ALL SELECT e.set_id, e.seq_idx, e.j, e.now, max(best.score + e.gain)::BIGINT FROM best JOIN e ON e.set_id = best.set_id AND e.seq_idx = best.seq_idx AND e.j = best.j + 1 AND e.was = best.now GROUP BY ALL),
 ranked AS (SELECT set_id, seq_idx, row_number() OVER (PARTITION BY set_id ORDER BY seq_idx) - 1 AS round FROM q),
 nodes AS (SELECT q.set_id, q.seq_idx, (SELECT count(*) FROM (SELECT DISTINCT c.j, c.now FROM c WHERE c.set_id = q.set_id AND c.seq_idx < q.seq_idx))::INT AS nodes_before FROM q)
-SELECT set_id, round::INT AS round, nodes_before, max(score) AS end_score FROM best JOIN ranked USING (set_id, seq_idx) JOIN nodes USING (set_id, seq_idx) WHERE j = 18 GROUP BY ALL""")
+SELECT set_id, round::INT AS round, nodes_before, max(score) AS end_score FROM best JOIN ranked USING (set_id, seq_idx) JOIN nodes USING (set_id, seq_idx) JOIN q USING (set_id, seq_idx) WHERE j = length(s) GROUP BY ALL""")
 def poa_rounds_without_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where no gap is made, a sequence's score is that of the best way through the columns along edges of those before it."""
-    return multiple.rounds(_equal_sets(spark, sf_dir, "rounds")).select("set_id", "round", "nodes_before", "end_score")
+    """Where no gap is made, a sequence's score is that of the best way through the columns along edges of those before it:
+    suppliers' names, a set for each nation, and whole benchmark texts, five a set (set_id below 0)."""
+    sets = _equal_sets(spark, sf_dir, "rounds").unionByName(_filled_sets(spark, sf_dir, "rounds"))
+    return multiple.rounds(sets).select("set_id", "round", "nodes_before", "end_score")
 
 
 @_query(f"WITH {_EQUAL} SELECT set_id, (row_number() OVER (PARTITION BY set_id ORDER BY seq_idx) - 1)::INT AS seq_idx, s AS row FROM q")

@@ -3,10 +3,10 @@ import random
 import duckdb
 import pytest
 
-from strandframe.functions.kernels import score_batch
 from strandframe.functions import poa
+from strandframe.functions.kernels import score_batch
 from strandframe.functions.poa import Graph, align_to_graph, grow, heaviest_path, progressive
-from strandframe.plans import oracle
+from strandframe.plans import catalog, oracle
 from strandframe.scheme import DEFAULT, ScoringScheme
 
 from .test_kernels import examples
@@ -199,3 +199,14 @@ def test_many_sequences_take_few_passes_over_the_graph(monkeypatch):
     names = [f"Supplier#{(i * 37) % 1000:09d}" for i in range(1000)]
     found = progressive(names, ScoringScheme(2, -1, -100, -127))
     assert found.rows == names and len(found.rounds) == 999 and len(passes) < 400
+
+
+def test_rounds_without_gaps_take_whole_texts_and_all_suppliers(spark):
+    """All texts of the benchmark and all suppliers are in the sets; texts were cut at 60 symbols first, then left out."""
+    folder = "/root/testdata/sf0.01"
+    got = catalog.poa_rounds_without_gaps(spark, folder).collect()
+    count = lambda sql: duckdb.sql(sql.format(folder)).fetchall()[0][0]
+    assert sum(r.set_id < 0 for r in got) == count("SELECT count(*) - count(DISTINCT item_id // 5) FROM '{}/benchmark.parquet' WHERE text IS NOT NULL")
+    assert sum(r.set_id >= 0 for r in got) == count("SELECT count(*) - count(DISTINCT s_nationkey) FROM '{}/supplier.parquet'")
+    longest = dict(duckdb.sql(f"SELECT -1 - item_id // 5, max(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) FROM '{folder}/benchmark.parquet' GROUP BY ALL").fetchall())
+    assert all(r.nodes_before == longest[r.set_id] for r in got if r.set_id < 0 and r.round == 1)
