@@ -6,6 +6,7 @@ format("fastq") any size from mounted paths); scan_fasta() and scan_fastq() spli
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,28 +19,79 @@ from .parse import records
 
 SCHEMA = "path string, seq_id long, format string, name string, comment string, sequence string, quality string"
 ROWS = 1000
+#: Bytes of a file that go to Python at a time.
+PIECE = 1 << 20
+
+
+class _Pieces(io.RawIOBase):
+    """A file as it comes in pieces, of which one is held at a time."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        while not self.left:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.left = memoryview(piece)
+        n = min(len(into), len(self.left))
+        into[:n], self.left = self.left[:n], self.left[n:]
+        return n
 
 
 def decoded(contents: DataFrame, form: str = "auto") -> DataFrame:
-    """The records of whole files, given as path and content, of a table or a stream."""
+    """The records of whole files, given as path and content, of a table or a stream.
+
+    A file goes to Python in pieces of PIECE bytes, and records come back by ROWS of them or PIECE characters, so that a
+    worker holds little of it, however large it is. Arrow batches are set to 512 rows and 8 MB for the session unless it has its own settings.
+    """
     if form not in ("auto", "fasta", "fastq"):
         raise ValueError("form must be auto, fasta or fastq")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
-        for batch in batches:
-            for file, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows: list[tuple] = []
-                for i, r in enumerate(records(raw.as_py(), form)):
-                    rows.append((file, i, *r))
-                    if len(rows) == ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return contents.select("path", "content").mapInArrow(run, SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((file, at, piece) for batch in batches for file, at, piece in zip(*(batch.column(c) for c in ("path", "at", "piece")), strict=True))
+        ahead = next(pieces, None)
+
+        def own() -> Iterator[bytes]:
+            """The pieces of one file: the next one begins at 0 again."""
+            nonlocal ahead
+            first = True
+            while ahead is not None and (first or ahead[1].as_py()):
+                piece, first = ahead[2].as_py(), False
+                ahead = next(pieces, None)
+                yield piece
+
+        while ahead is not None:
+            file, parts = ahead[0].as_py(), own()
+            rows: list[tuple] = []
+            size = 0
+            for i, r in enumerate(records(_Pieces(parts), form)):
+                rows.append((file, i, *r))
+                size += len(r[3]) + len(r[4] or "")
+                if len(rows) == ROWS or size >= PIECE:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
+            for _ in parts:  # what the parser left
+                pass
+
+    conf = contents.sparkSession.conf
+    for name, usual, most in (("maxRecordsPerBatch", ("10000",), "512"), ("maxBytesPerBatch", ("256MB", str(256 << 20), f"{256 << 20}b"), str(8 << 20))):
+        if conf.get(f"spark.sql.execution.arrow.{name}", usual[0]) in usual:
+            conf.set(f"spark.sql.execution.arrow.{name}", most)
+    size = F.octet_length("content")
+    cut = contents.select("path", "content", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(PIECE))).alias("at"))
+    return cut.select("path", "at", F.substring("content", F.col("at") + 1, F.lit(PIECE)).alias("piece")).mapInArrow(run, SCHEMA)
 
 
 def read_sequences(spark: SparkSession, path: str | list[str], form: str = "auto") -> DataFrame:

@@ -75,3 +75,16 @@ def test_query(spark):
     got = catalog.streaming_sequences(spark, folder).collect()
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     assert sorted((r.name, r.comment, r.symbols) for r in got) == sorted((f"doc{d.doc_id}", d.lang or "", len(d.text or "")) for d in docs)
+
+
+def test_a_file_goes_to_python_in_pieces(spark, tmp_path, monkeypatch):
+    """Files of many pieces and of none, plain and gzip, next to each other in one task; before, a worker got each one whole."""
+    monkeypatch.setattr(files, "PIECE", 64)
+    (tmp_path / "in").mkdir()
+    texts = {k: "".join(f">r{k}.{i} é\n{'ACGT' * (i % 40)}\n" for i in range(k * 30)) for k in range(4)}
+    for k, t in texts.items():
+        (tmp_path / "in" / f"{k}.fa").write_bytes(gzip.compress(t.encode()) if k % 2 else t.encode())
+    got = files.decoded(spark.read.format("binaryFile").load(f"{tmp_path}/in").coalesce(1)).collect()
+    assert sorted((r.path[-4:], r.seq_id, r.name, r.comment, r.sequence) for r in got) == sorted((f"{k}.fa", i, f"r{k}.{i}", "é", "ACGT" * (i % 40)) for k in texts for i in range(k * 30))
+    plan = files.read_sequences(spark, f"{tmp_path}/in")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(" in plan and "substring(content" in plan
