@@ -211,3 +211,30 @@ def test_ranking_with_one_class_keeps_all():
     for good in (np.array([True] * 3), np.array([False] * 3)):
         assert (quality_ranking.train(x, good).score(x) >= quality_ranking.CUT).all()
     assert (quality_ranking.train(np.empty((0, 20)), np.array([], bool)).score(x) >= quality_ranking.CUT).all()
+
+
+def test_ranking_learns_from_all_labelled_rows(spark, tmp_path, monkeypatch):
+    """More labelled rows than a sample of 12,000 had: the bad ones' mark counts though few have it, and all are in the sums."""
+    rng = np.random.default_rng(3)
+    n = 13_000
+    x = rng.normal(size=(n, len(quality_ranking.NAMES)))
+    label = (x[:, 0] + 0.3 * rng.normal(size=n) > -0.8).astype(int)
+    rows = spark.createDataFrame([(i, bytearray(x[i].tobytes()), int(label[i])) for i in range(n)], "id long, x binary, label int")
+    seen = []
+    terms = quality_ranking.minimise
+    monkeypatch.setattr(quality_ranking, "minimise", lambda f, k: (seen.append(f(np.zeros(k))), terms(f, k))[1])
+    model = quality_ranking.fit(rows.unionByName(rows.limit(50)))
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6)
+    assert seen[0][0] > 0.9 * label.sum() * (1 - label).sum() / 13  # pairs of 13 blocks
+    assert abs((model.score(x) < quality_ranking.CUT).mean() - (1 - label.mean())) < 1e-3  # the cut is a quantile of all
+    assert (model.score(x[label == 1])[:2000, None] > model.score(x[label == 0])[:2000]).mean() > 0.97
+
+
+def test_ranking_second_derivatives_match_differences():
+    rng = np.random.default_rng(4)
+    z, w, good = rng.normal(size=(12, 4)), rng.normal(size=4), np.arange(12) % 3 > 0
+    _, _, _, h = quality_ranking.block_terms(w, z, good)
+    for i in range(4):
+        step = 1e-6 * (np.arange(4) == i)
+        up, down = (quality_ranking.block_terms(w + k * step, z, good)[2] for k in (1, -1))
+        assert np.abs((up - down) / 2e-6 - h[i]).max() < 1e-4
